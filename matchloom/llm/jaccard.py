@@ -301,7 +301,7 @@ def _blocks(stuck: DataFrame) -> DataFrame:
     first = rows.withColumn("other_", F.explode(F.sequence(F.col("block_"), F.col("chunks") - 1)))
     second = rows.withColumnRenamed("block_", "other_").withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_"))))
     key = ["region", "block_", "other_"]
-    cols = [*key, "doc_id", "text"]
+    cols = [F.col(c).alias(c) for c in (*key, "doc_id", "text")]
     return first.select(*cols).groupBy(*key).cogroup(second.select(*cols).groupBy(*key)).applyInArrow(_block_links, "a long, b long")
 
 
