@@ -29,7 +29,8 @@ from .hashing import by_bytes, found_in, hash_sets, hash_words, mix, runs_equal
 SIZE = 5
 NUM, DEN = 80, 100  # least similarity
 RADIUS = 1 - NUM / DEN
-SKETCH_BITS, SLICES = 20, 32
+SKETCH_BITS, SLICES = 22, 32
+LEVEL_BITS = 12
 SLICE_BYTES = 4_000_000
 PIVOTS = 16  # of a round over a region that is dealt out
 SALT = 16
@@ -89,9 +90,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    """How common the shingles of each slot are, from 0: not above what chance puts there."""
-    usual = counts.mean() + 6 * np.sqrt(counts.mean()) + 1
-    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1) / usual)), 0, 255).astype(np.uint64)
+    """How common the shingles of each slot are, in steps of half a percent."""
+    return np.round(127 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
 
 
 def _prefixes(levels: np.ndarray):
@@ -107,7 +107,8 @@ def _prefixes(levels: np.ndarray):
                     if n[i] and fp not in seen:
                         seen.add(fp)
                         new[i] = True
-                keys = (levels[(elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(55)) | (elements & np.uint64(2**55 - 1))
+                level = levels[(elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                keys = (level << np.uint64(63 - LEVEL_BITS)) | (elements & np.uint64(2 ** (63 - LEVEL_BITS) - 1))
                 for a, b in zip(first[:-1], first[1:]):
                     keys[a:b].sort()
                 # An overlap of least NUM/DEN * n elements leaves no room for a partner that misses all of these.
@@ -335,7 +336,7 @@ def join(docs: DataFrame, local: int = LOCAL) -> DataFrame:
     seen = cut(texts.mapInArrow(_survey, _SEEN))
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     width = len(counts) // SLICES
-    for row in seen.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, counts binary").collect():  # 4 MB, whatever the input
+    for row in seen.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, counts binary").collect():  # 16 MB, whatever the input
         counts[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
     levels = _levels(counts)
     rows = seen.filter("slice is null").select("doc_id", "n", "fp1", "fp2")
