@@ -160,9 +160,20 @@ class _Region:
     def labels(self, region: np.ndarray) -> np.ndarray:
         return np.array([self.root(i) for i in region.tolist()])
 
-    def measure(self, p: int, region: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def index(self, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of a region's documents in order, and the number in the region of the document each is of."""
+        tokens = np.concatenate([self.own[i] for i in region])
+        owner = np.repeat(np.arange(len(region)), self.n[region])
+        order = np.argsort(tokens, kind="stable")
+        return tokens[order], owner[order]
+
+    def measure(self, p: int, region: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Distances of a region's documents from p; those that link with p are joined to it."""
-        shared = np.bincount(owner[found_in(self.own[p], tokens) >= 0], minlength=len(region))
+        tokens, owner = index
+        low = np.searchsorted(tokens, self.own[p], "left")
+        size = np.searchsorted(tokens, self.own[p], "right") - low
+        hits = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(owner[hits], minlength=len(region))
         whole = self.n[region] + self.n[p] - shared
         for i in region[DEN * shared >= NUM * whole].tolist():
             a, b = self.root(i), self.root(p)
@@ -175,13 +186,12 @@ class _Region:
             region = todo.pop()
             if len(region) < 2 or len(set(self.labels(region).tolist())) == 1:
                 continue
-            tokens = np.concatenate([self.own[i] for i in region])
-            owner = np.repeat(np.arange(len(region)), self.n[region])
+            index = self.index(region)
             far, pivots, distances = np.full(len(region), np.inf), [], []
             p = 0
             while len(pivots) < 8:  # each pivot is the document farthest from those before
                 pivots.append(p)
-                distances.append(self.measure(int(region[p]), region, tokens, owner))
+                distances.append(self.measure(int(region[p]), region, index))
                 far = np.minimum(far, distances[-1])
                 p = int(far.argmax())
                 if far[p] == 0:
@@ -201,18 +211,12 @@ class _Region:
 
     def one_by_one(self, region: np.ndarray) -> None:
         """For a region that pivots do not divide: each document against those that are not yet connected to it."""
-        while True:
-            labels = self.labels(region)
-            kinds, sizes = np.unique(labels, return_counts=True)
-            if len(kinds) < 2:
-                return
-            # The largest group need not be asked: all others' links are found from their side.
-            small = region[labels != kinds[sizes.argmax()]]
-            p = int(small[0])
-            others = region[(labels != self.root(p)) & (NUM * self.n[region] <= DEN * self.n[p]) & (NUM * self.n[p] <= DEN * self.n[region])]
-            if len(others):
-                self.measure(p, others, np.concatenate([self.own[i] for i in others]), np.repeat(np.arange(len(others)), self.n[others]))
-            region = region[region != p]
+        labels = self.labels(region)
+        kinds, sizes = np.unique(labels, return_counts=True)
+        # The largest group need not be asked: all others' links are found from their side.
+        index = self.index(region)
+        for p in region[labels != kinds[sizes.argmax()]].tolist():
+            self.measure(p, region, index)
 
 
 def _solve(group: pa.Table) -> pa.Table:
@@ -356,7 +360,11 @@ def join(docs: DataFrame, local: int = LOCAL) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The row of each near-duplicate class with the smallest doc_id; documents without words all stay."""
-    kept = join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_first(docs: DataFrame, local: int = LOCAL) -> DataFrame:
+    """The row of each near-duplicate class with the smallest doc_id; documents without words or doc_id all stay.
+
+    Of several rows with one doc_id one stays. Columns and their order stay.
+    """
+    kept = join(docs, local).filter("doc_id = component_id").select("doc_id").distinct()
+    first = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -63,18 +63,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     return df.select("doc_id", "source", "size", "source_size", "target", "whole", "rest", (F.col("whole") * F.col("size") + F.col("rest")).alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs as the mix takes them: whole repetitions, and of a rest below the size its first words.
+def repeat_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as mix(docs, **how) takes them: whole repetitions, and of a rest below the size its first words.
 
-    docs must have one row per doc_id; columns and their order stay.
+    Columns and their order stay; n_chars, if there, follows the text. Rows repeated in full share the larger count.
     """
-    counts = mixed.filter("taken > 0").select(F.col("doc_id").alias("id_"), "size", "whole", "rest")
-    df = docs.join(counts, F.col("doc_id") == F.col("id_"))
-    times = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("take_", F.explode(times))
-    part = F.array_join(F.slice(words(F.col("text")), 1, F.col("take_").cast("int")), " ")
-    text = F.when(F.col("take_") < F.col("size"), part).otherwise(F.col("text"))
-    df = df.withColumn("text", text)
+    key = F.struct("doc_id", F.xxhash64("text", "source"))
+    mixed = mix(docs.select(key.alias("doc_id"), "text", "source"), **how).filter("taken > 0")
+    counts = mixed.groupBy(F.col("doc_id").alias("key_")).agg(F.max("size").alias("size_"), F.max("whole").alias("whole_"), F.max("rest").alias("rest_"))
+    df = docs.select(F.struct(*docs.columns).alias("row_"), key.alias("key_")).join(counts, "key_")
+    times = F.concat(F.array_repeat("size_", F.col("whole_").cast("int")), F.when(F.col("rest_") > 0, F.array("rest_")).otherwise(F.array().cast("array<bigint>")))
+    df = df.select("row_", "size_", F.explode(times).alias("take_"))
+    less = F.col("take_") < F.col("size_")
+    text = F.when(less, F.array_join(F.slice(words(F.col("row_")["text"]), 1, F.col("take_").cast("int")), " ")).otherwise(F.col("row_")["text"])
+    own = {"text": text}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("take_") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        own["n_chars"] = F.when(less, F.length(text)).otherwise(F.col("row_")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[own.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])
