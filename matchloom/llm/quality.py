@@ -22,6 +22,8 @@ COMMON_WORDS = (
 )
 #: Classes of non-space characters, taken off one after the other; what is left is the last class.
 CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:'\"?()-]+"), ("letter", r"\p{L}+"))
+MOST_BROADCAST = 4096  # languages with a reference, of under 1 kB each, that are broadcast; more are joined with salt
+SALT = 64
 SYMBOLS = "#*$%&|<>"
 
 
@@ -80,10 +82,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(parts) / 2)))
 
 
-def references(rows: DataFrame, config: QualityConfig) -> DataFrame:
-    """One row per language: its summed histograms over all rows that pass the base rules, and those of all languages.
+def references(rows: DataFrame, config: QualityConfig) -> tuple[DataFrame, DataFrame]:
+    """Summed histograms over all rows that pass the base rules: one row of all languages, and one per language.
 
-    A language with fewer words than config.min_reference gets those of all languages.
+    A language with fewer words than config.min_reference has no row of its own.
     """
     sums = lambda name, size: [F.sum(F.col(name)[i]).alias(f"{name}{i}") for i in range(size)]
     sizes = {"class_hist": len(CLASSES) + 1, "word_hist": len(COMMON_WORDS) + 1}
@@ -105,8 +107,13 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = cut(rows)
     whole, by_lang = references(rows, config)
-    # One row, and one row per language with a reference: its planner broadcasts them only within its size limit.
-    rows = rows.join(by_lang, "lang_", "left").join(F.broadcast(whole))
+    by_lang = cut(by_lang)
+    if by_lang.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(by_lang), "lang_", "left")
+    else:
+        salted = by_lang.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["lang_", "salt_"], "left")
+    rows = rows.join(F.broadcast(whole))  # a single row
     for name, guard in (("class", F.col("word_chars") >= config.min_chars), ("word", F.col("n_words") >= config.min_words)):
         rows = rows.withColumn(f"{name}_distance", F.when(guard, js_distance(F.col(f"{name}_hist"), F.coalesce(f"ref_{name}_hist", f"all_{name}_hist"))))
     kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= config.max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= config.max_words)
