@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a host, then from the first / on a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -81,7 +83,8 @@ def reputation(hosts: DataFrame, config: ReputationConfig = ReputationConfig())
     domain, suffix = levels(F.col("host"), config)
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), F.col("n_labelled").cast("double").alias("n_"), F.col("n_bad").cast("double").alias("bad_"))
     sums = [F.sum("n_").alias("n_"), F.sum("bad_").alias("bad_")]
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
+    hosts = cut(hosts)  # each level is used twice
+    domains = cut(hosts.groupBy("domain", "suffix").agg(*sums))
     suffixes = domains.groupBy("suffix").agg(*sums)
     whole = suffixes.agg(((F.sum("bad_") + 0.5) / (F.sum("n_") + 1)).alias("prior_"))
     whole = whole.select(F.coalesce("prior_", F.lit(0.5)).alias("prior_"))
@@ -91,7 +94,9 @@ def reputation(hosts: DataFrame, config: ReputationConfig = ReputationConfig())
         return rows.join(F.broadcast(k)).withColumn("rate_", (F.col("bad_") + F.col("k_") * F.col("prior_")) / (F.col("n_") + F.col("k_")))
 
     suffixes = shrunk(suffixes.join(F.broadcast(whole)))
+    suffixes = cut(suffixes)
     domains = shrunk(domains.join(suffixes.select("suffix", F.col("rate_").alias("prior_")), "suffix"))
+    domains = cut(domains)
     hosts = shrunk(hosts.join(domains.select("domain", F.col("rate_").alias("prior_")), "domain"))
     alpha, beta = F.col("bad_") + F.col("k_") * F.col("prior_"), F.col("n_") - F.col("bad_") + F.col("k_") * (1 - F.col("prior_"))
     hosts = hosts.select("host", "domain", "suffix", F.col("n_").cast("long").alias("n_labelled"), F.col("bad_").cast("long").alias("n_bad"), alpha.alias("alpha"), beta.alias("beta"))
