@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -243,12 +244,13 @@ def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray
     size = np.array([len(w) for w in words])
     begin = np.cumsum(size) - size
     start, piece = edges_of(model, "".join(words))
-    word = np.searchsorted(begin, start, "right") - 1
+    word = np.repeat(np.arange(len(words)), size)[start]
     end = start + model.size[piece]
     inside = end <= begin[word] + size[word]
     start, piece, end, word = start[inside], piece[inside], end[inside], word[inside]
     depth = end - begin[word]
-    order = np.argsort(depth, kind="stable")
+    # Counted in 16 bits the sort is linear; longer words take the general one.
+    order = np.argsort(depth.astype(np.uint16) if size.max() < 2**16 else depth, kind="stable")
     start, piece, end, depth = start[order], piece[order], end[order], depth[order]
     first_place = start == begin[word[order]]
     last = np.full(int(size.sum()) + 1, NONE, np.int64)  # by end: the piece that ends the encoding up to there
@@ -291,11 +293,12 @@ def _plain(model: Model, word: str) -> list[int]:
 
 def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first) of texts; a null or empty text has no pieces."""
-    number: dict[str, int] = {}
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
     rows, counts = [], []
     for t in texts:
         found = _WORD.findall((SPACE if model.dummy_prefix else "") + t.replace(" ", SPACE)) if t else []
-        rows += [number.setdefault(w, len(number)) for w in found]
+        rows += [number[w] for w in found]
         counts.append(len(found))
     words = list(number)
     plain = [SPACE * 2 not in w and model.known.issuperset(w) for w in words]
