@@ -22,19 +22,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for
-from .hashing import found_in, hash_runs, hash_words, runs_equal
+from .hashing import by_bytes, found_in, hash_runs, hash_words, runs_equal
 
 WINDOW, ANCHOR = 13, 7
 PERIOD = WINDOW - ANCHOR + 1
 COVER = (0, 1, 3)  # every difference modulo 7 is one of two of these
 ANCHOR_BITS = 48  # an anchor's hash only finds candidates, so it may be short
 LAST = 2**63 - 1  # stands for a null doc_id: after all others
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES, PACK_BYTES = 12_000_000, 32_000_000
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk in a batch as one compressed row: texts are most of what is shuffled."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+    for whole in batches:
+        for batch in by_bytes(whole, "text", PACK_BYTES):
+            chunk = batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            at = runs_equal(chunk[order])
+            rows = batch.select(["doc_id", "text"]).take(pa.array(order))
+            blobs = []
+            for a, b in zip(at, np.append(at[1:], len(order))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_batch(pa.concat_batches([rows.slice(a, b - a)]))
+                blobs.append(sink.getvalue())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[order][at], pa.int32()), "rows": pa.array([x.to_pybytes() for x in blobs], pa.binary())})
 
 
 def _columns(group: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    texts = group.column("text").combine_chunks()
-    return group.column("doc_id").to_numpy(), texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    """Documents and texts of a chunk, by document."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("rows").combine_chunks().cast(pa.binary())]
+    rows = pa.concat_tables(tables).combine_chunks()
+    return rows.column("doc_id").to_numpy(), rows.column("text").chunk(0)
 
 
 def _anchors(words) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +101,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     if not group.num_rows:
-        return pa.table({"key": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
+        return pa.table({"key": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
     docs, texts = _columns(group)
     words = hash_words(texts)
     at, keys = _anchors(words)
@@ -92,14 +112,14 @@ def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     start, h = hash_runs(words, WINDOW)
     own = np.cumsum(near)[start] > 0
     keys, low, high = _by_key(h[own].astype(np.int64), docs[words.row[start[own]]])
-    return pa.table({"key": keys, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "low": low, "high": high})
+    return pa.table({"key": keys, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "low": low, "more": high - low})
 
 
 def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and low, those whose chunk has a larger document than the key's smallest, with that one."""
     last, least = None, None
     for batch in batches:
-        key, chunk, low, high = (batch.column(c).to_numpy() for c in ("key", "chunk", "low", "high"))
+        key, chunk, low, more = (batch.column(c).to_numpy() for c in ("key", "chunk", "low", "more"))
         if not len(key):
             continue
         at = runs_equal(key)
@@ -108,7 +128,7 @@ def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[0] = least
         last, least = key[-1], first[-1]
         first = np.repeat(first, np.diff(np.append(at, len(key))))
-        rows = high > first
+        rows = low + more > first
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[rows], pa.int32()), "key": pa.array(key[rows], pa.int64()), "first": pa.array(first[rows], pa.int64())})
 
 
@@ -155,10 +175,10 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = parts_for(spark, n_bytes, CHUNK_BYTES)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    dealt = docs.select(F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"), ids.alias("doc_id"), "text")
+    dealt = docs.select(F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"), ids.alias("doc_id"), "text").mapInArrow(_pack, "chunk int, rows binary")
     anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors, "key long, chunk int, multi boolean")
     repeated = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "chunk int, key long")
-    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, chunk int, low long, high long")
+    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, chunk int, low long, more long")
     known = windows.repartition("key").sortWithinPartitions("key", "low").mapInArrow(_smallest, "chunk int, key long, first long")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
