@@ -23,12 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .hashing import by_bytes
+from .hashing import by_bytes, runs_equal
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _WORD = re.compile(f"[\n\t\r]|{SPACE}*[^{SPACE}\n\t\r]+|{SPACE}+")
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 6_000_000  # of text whose words are encoded together
+INDEX_CHARS = 1_000_000  # of distinct words that are indexed at once; a longer word has an index of its own
 CACHE_BITS = 20
 NONE = -1
 
@@ -85,7 +86,7 @@ class Model:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         self.known = frozenset(p for p in self.ids if len(p) == 1)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() if self.rank[i] >= 0 else b"" for i, p in enumerate(self.pieces)]
-        self.size = np.array([len(p) for p in self.pieces])
+        self.size = np.array([len(p) for p in self.pieces], np.int32)
         self.cache = np.full(1 << CACHE_BITS, -2, np.int64)
 
 
@@ -180,7 +181,7 @@ def seams(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _may_follow(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    code = a * len(model.pieces) + b
+    code = a.astype(np.int64) * len(model.pieces) + b
     slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
     seen = model.cache[slot]
     out = (seen & 1).astype(bool)
@@ -204,7 +205,7 @@ def edges_of(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(len(codes), np.uint64)
     for k in range(width):  # the first characters of each suffix as one number
         key = (key << np.uint64(bits)) | padded[k : k + len(codes)]
-    suffixes = np.argsort(key)
+    suffixes = np.argsort(key).astype(np.int32)
     ordered = key[suffixes]
     code_of = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
     ids = [i for i, p in enumerate(model.pieces) if model.usable[i] and all(c in code_of for c in p)]
@@ -219,7 +220,7 @@ def edges_of(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
     begin = np.searchsorted(ordered, np.array(low, np.uint64), "left")
     end = np.searchsorted(ordered, np.array(high, np.uint64), "right")
     size = end - begin
-    piece = np.repeat(np.array(ids, np.int64), size)
+    piece = np.repeat(np.array(ids, np.int32), size)
     start = suffixes[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
     # Of pieces longer than a key, what follows is compared key by key.
     long = np.flatnonzero(model.size[piece] > width)
@@ -240,11 +241,11 @@ def edges_of(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
 def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): the pieces of each word, one after the other. Words hold known characters only and no run of spaces."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    size = np.array([len(w) for w in words])
-    begin = np.cumsum(size) - size
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    size = np.array([len(w) for w in words], np.int32)
+    begin = np.cumsum(size, dtype=np.int32) - size
     start, piece = edges_of(model, "".join(words))
-    word = np.repeat(np.arange(len(words)), size)[start]
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)[start]
     end = start + model.size[piece]
     inside = end <= begin[word] + size[word]
     start, piece, end, word = start[inside], piece[inside], end[inside], word[inside]
@@ -253,7 +254,7 @@ def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(depth.astype(np.uint16) if size.max() < 2**16 else depth, kind="stable")
     start, piece, end, depth = start[order], piece[order], end[order], depth[order]
     first_place = start == begin[word[order]]
-    last = np.full(int(size.sum()) + 1, NONE, np.int64)  # by end: the piece that ends the encoding up to there
+    last = np.full(int(size.sum()) + 1, NONE, np.int32)  # by end: the piece that ends the encoding up to there
     # last is indexed by the end within the joint text; an end that is another word's start is told apart by first_place.
     cuts = np.flatnonzero(np.append(True, depth[1:] != depth[:-1]))
     for a, b in zip(cuts, np.append(cuts[1:], len(depth))):
@@ -302,18 +303,22 @@ def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.
         counts.append(len(found))
     words = list(number)
     plain = [SPACE * 2 not in w and model.known.issuperset(w) for w in words]
-    ids, first = encode_words(model, [w for w, p in zip(words, plain) if p])
+    whole = [w for w, p in zip(words, plain) if p]
+    group = np.cumsum([len(w) for w in whole]) // INDEX_CHARS
+    cuts = [*runs_equal(group).tolist(), len(whole)]
+    parts = [encode_words(model, whole[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    ids = np.concatenate([np.zeros(0, np.int32), *(p for p, _ in parts)])
     size = np.zeros(len(words), np.int64)
-    size[plain] = np.diff(first)
+    size[plain] = np.concatenate([np.zeros(0, np.int64), *(np.diff(f) for _, f in parts)])
     base = np.zeros(len(words), np.int64)
-    base[plain] = first[:-1]
+    base[plain] = np.cumsum(size[plain]) - size[plain]
     other = []
     for k, (w, p) in enumerate(zip(words, plain)):
         if not p:
             own = _plain(model, w)
             base[k], size[k] = len(ids) + len(other), len(own)
             other += own
-    ids = np.append(ids, np.array(other, np.int64))
+    ids = np.append(ids, np.array(other, np.int32))
     rows = np.array(rows, np.int64)
     n = size[rows]
     flat = ids[np.repeat(base[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -349,10 +354,9 @@ def encode(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
                 texts = batch.column("text").to_pylist()
                 ids, first = encode_batch(shared.value, texts)
                 none = pc.is_null(batch.column("text"))
-                flat = ids.tolist()
-                back = [None if t is None else decode(shared.value, flat[a:b]) == t.replace(SPACE, " ") for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist())]
+                back = [None if t is None else decode(shared.value, ids[a:b].tolist()) == t.replace(SPACE, " ") for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist())]
                 offsets = pa.array(first.astype(np.int32), mask=np.append(none.to_numpy(zero_copy_only=False), False))
-                own = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                own = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32, copy=False)))
                 n = pa.array(np.diff(first).astype(np.int32), mask=none.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*batch.columns, n, own, pa.array(back, pa.bool_())], [*names, "n_tokens", "ids", "round_trip"])
 
