@@ -1,4 +1,4 @@
-"""The registered queries of this package, with production parameters over whole tables, and their SQL for DuckDB."""
+"""The registered queries of this package, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, htmltext, jaccard, mixing, quality, secrets, sentencepiece, substring, topk, urlfilter
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of documents are taken as outcomes of the pages of the same number: bad if toxic or of low quality."""
     labels = table(spark, sf_dir, "labels")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))).drop("posterior", "bound")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_html_extraction, op4_substring_dedup, op5_secret_scan, op6_chat_format, op7_sentencepiece, op8_source_mix, op9_topk, op10_quality_rules)}
-ORACLES: dict[str, str] = {}

@@ -85,19 +85,24 @@ def reputation(hosts: DataFrame, config: ReputationConfig = ReputationConfig())
     sums = [F.sum("n_").alias("n_"), F.sum("bad_").alias("bad_")]
     hosts = cut(hosts)  # each level is used twice
     domains = cut(hosts.groupBy("domain", "suffix").agg(*sums))
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    whole = suffixes.agg(((F.sum("bad_") + 0.5) / (F.sum("n_") + 1)).alias("prior_"))
-    whole = whole.select(F.coalesce("prior_", F.lit(0.5)).alias("prior_"))
-
-    def shrunk(rows: DataFrame) -> DataFrame:
-        k = strength(rows.filter("n_ > 0"), "n_", "bad_", "prior_", config)  # a single row
-        return rows.join(F.broadcast(k)).withColumn("rate_", (F.col("bad_") + F.col("k_") * F.col("prior_")) / (F.col("n_") + F.col("k_")))
-
-    suffixes = shrunk(suffixes.join(F.broadcast(whole)))
-    suffixes = cut(suffixes)
-    domains = shrunk(domains.join(suffixes.select("suffix", F.col("rate_").alias("prior_")), "suffix"))
-    domains = cut(domains)
-    hosts = shrunk(hosts.join(domains.select("domain", F.col("rate_").alias("prior_")), "domain"))
+    suffixes = cut(domains.groupBy("suffix").agg(*sums))
+    whole = suffixes.agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in ((F.sum("n_"), "n_"), (F.sum("bad_"), "bad_"))]).select("n_", "bad_", F.lit(0.5).alias("prior_"), F.lit(1.0).alias("k_"))
+
+    def shrunk(rows: DataFrame, above: DataFrame, key: str | None) -> DataFrame:
+        """rows with prior_ and k_: the posterior of the level above, without what the row itself adds to it.
+
+        A prior counts no more pages than there are behind it.
+        """
+        above = above.select(*([key] if key else []), *[F.col(c).alias(f"up_{c}") for c in ("n_", "bad_", "prior_", "k_")])
+        rows = rows.join(above, key) if key else rows.join(F.broadcast(above))  # a single row
+        behind = F.col("up_n_") - F.col("n_") + F.col("up_k_")
+        rows = rows.withColumn("prior_", (F.col("up_bad_") - F.col("bad_") + F.col("up_k_") * F.col("up_prior_")) / behind).withColumn("behind_", behind)
+        fitted = strength(rows.filter("n_ > 0"), "n_", "bad_", "prior_", config)  # a single row
+        return cut(rows.drop("up_n_", "up_bad_", "up_prior_", "up_k_").join(F.broadcast(fitted)).withColumn("k_", F.least("k_", "behind_")).drop("behind_"))
+
+    suffixes = shrunk(suffixes, whole, None)
+    domains = shrunk(domains, suffixes, "suffix")
+    hosts = shrunk(hosts, domains.drop("suffix"), "domain")
     alpha, beta = F.col("bad_") + F.col("k_") * F.col("prior_"), F.col("n_") - F.col("bad_") + F.col("k_") * (1 - F.col("prior_"))
     hosts = hosts.select("host", "domain", "suffix", F.col("n_").cast("long").alias("n_labelled"), F.col("bad_").cast("long").alias("n_bad"), alpha.alias("alpha"), beta.alias("beta"))
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
