@@ -57,7 +57,7 @@ def expand(a: Automaton, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarr
     return np.repeat(ends, n), a.pids[at]
 
 
-def scan_texts(a: Automaton, texts: pa.Array, nocase: bool = False, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def scan_texts(a: Automaton, texts: pa.Array, nocase: bool = False, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, end, pattern id) of all matches in an array of binaries, in parts of about most bytes of text.
 
     A match is kept if it starts inside the text in which it ends; what lanes or neighbours add starts before.

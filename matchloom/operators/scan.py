@@ -21,19 +21,26 @@ from ..functions.automaton import Automaton, compile_patterns, content_key, fold
 from ..functions.kernel import scan_texts
 from ..plans import chunks
 
+#: Environment variables that set a plan where the configuration does not (fixed values: their names).
+TASKS_ENV, SHARDS_ENV = "AC_DYN_TASKS_PER_THREAD", "AC_2D_K"
 MAX_STRATEGIES = 32
 MAX_CACHED = 8
 
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """threads and tasks_per_thread size the plans (0: chosen here); shards is K of the two-dimensional plan."""
+    """threads and tasks_per_thread size the plans (0: chosen here); shards is K of the two-dimensional plan.
+
+    spread deals the pieces of texts over that many partitions; it is for a few large texts, as a table of many texts is
+    in enough partitions already and need not be shuffled.
+    """
 
     threads: int = 0
     tasks_per_thread: int = 0
     shards: int = 0
     weights: tuple[float, ...] = ()
     nocase: bool = False
+    spread: bool = False
 
 
 _cached: dict[tuple[str, str], Broadcast] = {}
@@ -161,20 +168,27 @@ def _shards(rows: list[tuple[int, bytes]], k: int) -> dict[int, list[tuple[int,
 
 
 def _divided(df: DataFrame, keys: list[str], rows: list[tuple[int, bytes]], config: ScanConfig, parts: int, shards: int = 1) -> DataFrame:
-    """Each text in chunks with a halo, each chunk against each shard; texts too small for that stay whole."""
+    """Each text in chunks with a halo, each chunk against each shard; texts too small for that stay whole.
+
+    The input is read once.
+    """
     spark = df.sparkSession
     own = _shards(rows, shards) if shards > 1 else {0: rows} if rows else {}
     automata = {k: shared(spark, r) for k, r in own.items()}
     halo = max((a.value.halo for a in automata.values()), default=0)
-    df = df.withColumn("n_", F.octet_length("body").cast("long"))
+    df = df.withColumn("n_", F.octet_length("body").cast("long")).filter("n_ > 0")
     small = (F.col("n_") <= 2 * halo) | (F.col("n_") < chunks.LEAST * parts)
-    whole = df.filter(small).select(*keys, "body", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("core"))
-    cut = chunks.equal_chunks(df.filter(~small), "n_", parts, halo)
-    piece = F.expr("substring(body, cast(scan_start + 1 as int), cast(core_end - scan_start as int))")
-    cut = cut.select(*keys, piece.alias("body"), F.col("scan_start").alias("at"), F.col("core_start").alias("core"))
-    both = whole.unionByName(cut)
-    both = both.withColumn("shard", F.explode(F.lit(sorted(automata)).cast("array<int>")))
-    return scan_rows(both, keys, automata, config.nocase)
+    size = F.when(small, F.col("n_")).otherwise(F.expr(f"(n_ + {parts - 1}) div {parts}"))
+    df = df.withColumn("size_", size).withColumn("core", F.explode(F.expr("sequence(0L, n_ - 1, size_)")))
+    df = df.withColumn("at", F.greatest(F.lit(0).cast("long"), F.col("core") - halo))
+    piece = F.expr("substring(body, cast(at + 1 as int), cast(least(core + size_, n_) - at as int))")
+    df = df.select(*keys, piece.alias("body"), "at", "core")
+    df = df.repartition(parts) if config.spread else df
+    if shards > 1 or not automata:
+        df = df.withColumn("shard", F.explode(F.lit(sorted(automata)).cast("array<int>")))
+    else:
+        df = df.withColumn("shard", F.lit(next(iter(automata))))
+    return scan_rows(df, keys, automata, config.nocase)
 
 
 def _chunked(df, keys, rows, config):
@@ -182,7 +196,7 @@ def _chunked(df, keys, rows, config):
 
 
 def _dynamic(df, keys, rows, config):
-    per = config.tasks_per_thread or int(os.environ.get("AC_DYN_TASKS_PER_THREAD", 0)) or 4
+    per = config.tasks_per_thread or int(os.environ.get(TASKS_ENV, 0)) or 4
     return _divided(df, keys, rows, config, _threads(df, config) * per)
 
 
@@ -191,7 +205,7 @@ def _sharded(df, keys, rows, config):
 
 
 def _two_d(df, keys, rows, config):
-    k, n = chunks.two_d(_threads(df, config), len(rows), config.shards or int(os.environ.get("AC_2D_K", 2)))
+    k, n = chunks.two_d(_threads(df, config), len(rows), config.shards or int(os.environ.get(SHARDS_ENV, 2)))
     return _divided(df, keys, rows, config, n, k)
 
 

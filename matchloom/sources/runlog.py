@@ -15,6 +15,7 @@ SEARCHERS = (
     "sequential", "sequential_flat", "pthread_chunked", "pthread_chunked_v2", "pthread_chunked_v3", "pthread_chunked_v3_flat", "pthread_chunked_flat",
     "pthread_dynamic", "pthread_dynamic_flat", "pthread_prefetch", "pattern_sharded_prefix", "pthread_2d_sharded_chunked",
 )
+#: A worker's line (fixed values: the logs' format).
 WORKER = r"^\s*\[t(\d+)\]\s+([\d.]+) ms\s+(\d+) bytes\s+(\d+) matches\s+([\d.]+) MB/s(?:\s+cpu=(-?\d+))?\s*$"
 
 
