@@ -90,6 +90,7 @@ _CLASS = "list_value(" + ", ".join(f"(length(r{k}) - length(r{k + 1}))::DOUBLE"
 _WORD = "list_value(" + ", ".join(f"len(list_filter(w, lambda x: x = '{x}'))::DOUBLE" for x in quality.COMMON_WORDS)
 _WORD += ", len(list_filter(w, lambda x: x NOT IN (" + ", ".join(f"'{x}'" for x in quality.COMMON_WORDS) + ")))::DOUBLE)"
 _SUM = lambda c, size: "list_value(" + ", ".join(f"sum({c}[{i + 1}])" for i in range(size)) + ")"
+_share = lambda c: f"list_value(list_sum(list_slice({c}, 1, {len(quality.COMMON_WORDS)})), ({c})[{len(quality.COMMON_WORDS) + 1}])"
 _SIZES = (_N + 1, len(quality.COMMON_WORDS) + 1)
 OP10 = rf"""WITH d AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} w FROM documents),
 t AS (SELECT doc_id, i, list_slice(w, i, i + 2) x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM d WHERE len(w) >= 3)),
@@ -98,9 +99,9 @@ f AS MATERIALIZED (SELECT doc_id, lang, len(w)::BIGINT n_words, length(r0)::BIGI
 b AS MATERIALIZED (SELECT f.*, len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(g.n, 0) n_repeat_words, n_words < 50 OR 100 * coalesce(g.n, 0) > 50 * n_words base_failed FROM f LEFT JOIN g USING (doc_id)),
 o AS MATERIALIZED (SELECT lang, {_SUM('ch', _SIZES[0])} rc, {_SUM('wh', _SIZES[1])} rw FROM b WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1 HAVING sum(n_words) >= {_Q.min_reference}),
 a AS MATERIALIZED (SELECT {_SUM('ch', _SIZES[0])} ac, {_SUM('wh', _SIZES[1])} aw FROM b WHERE NOT base_failed),
-j AS (SELECT b.*, coalesce(rc, ac) rc, coalesce(rw, aw) rw FROM b LEFT JOIN o ON b.lang = o.lang, a)
+j AS (SELECT b.*, coalesce(rc, ac) rc, coalesce(rw, aw) rw, ac, aw FROM b LEFT JOIN o ON b.lang = o.lang, a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT n_dup_lines, n_repeat_words::BIGINT n_repeat_words, base_failed,
-NOT base_failed AND (word_chars < {_Q.min_chars} OR {_js('ch', 'rc')} <= {_Q.max_class}) AND (n_words < {_Q.min_words} OR {_js('wh', 'rw')} <= {_Q.max_words}) kept FROM j"""
+NOT base_failed AND (word_chars < {_Q.min_chars} OR least({_js('ch', 'rc')}, {_js('ch', 'ac')}) <= {_Q.max_class}) AND (n_words < {_Q.min_words} OR least({_js('wh', 'rw')}, {_js('wh', 'aw')}) <= {_Q.max_words} OR {_js(_share('wh'), _share('coalesce(rw, aw)'))} <= {_Q.max_share}) kept FROM j"""
 
 ORACLES = {
     "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op6_chat_format": OP6, "op8_source_mix": OP8, "op9_topk": OP9, "op10_quality_rules": OP10,

@@ -31,7 +31,9 @@ SYMBOLS = "#*$%&|<>"
 class QualityConfig:
     """Limits of the verdict. A divergence counts only where the document has enough characters or words for it.
 
-    max_class and max_words bound the Jensen-Shannon distances (0 to 1) of the two histograms; min_chars and min_words
+    max_class and max_words bound the Jensen-Shannon distances (0 to 1) of the two histograms; a document beyond
+    max_words goes only if its share of common words, of whatever language, is beyond max_share too, so that text of
+    several languages stays; min_chars and min_words
     are the guards below which a histogram says nothing. min_reference is the number of words a language's reference
     needs; a document of a language without one is compared with the reference over all languages.
     """
@@ -39,7 +41,8 @@ class QualityConfig:
     min_chars: int = 200
     min_words: int = 120
     max_class: float = 0.3
-    max_words: float = 0.24
+    max_words: float = 0.2
+    max_share: float = 0.15
     min_reference: int = 2000
 
 
@@ -99,9 +102,11 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame
     """Quality verdict of every row of docs(doc_id, text, lang, ...).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
-    class_distance, word_distance (double; null where the guard holds it back or there is no reference). A null text is
+    class_distance, word_distance, share_distance (double; null where the guard holds it back or there is no reference). A null text is
     an empty one and fails the base rules; repeated rows are judged one by one; an empty table gives an empty result;
-    a null or rare lang is compared with the reference over all languages. Other columns of docs are not read.
+    a document is compared with its language's reference and with that over all languages, of which the nearer one
+    counts (text of several languages is near the second); a null or rare lang has the second only. Other columns of docs
+    are not read.
     """
     rows = features(docs.select("doc_id", "text", "lang"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -115,6 +120,9 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame
         rows = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["lang_", "salt_"], "left")
     rows = rows.join(F.broadcast(whole))  # a single row
     for name, guard in (("class", F.col("word_chars") >= config.min_chars), ("word", F.col("n_words") >= config.min_words)):
-        rows = rows.withColumn(f"{name}_distance", F.when(guard, js_distance(F.col(f"{name}_hist"), F.coalesce(f"ref_{name}_hist", f"all_{name}_hist"))))
-    kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= config.max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= config.max_words)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
+        rows = rows.withColumn(f"{name}_distance", F.when(guard, F.least(*[js_distance(F.col(f"{name}_hist"), F.col(f"{of}_{name}_hist")) for of in ("ref", "all")])))  # nulls do not count
+    common = lambda c: F.array(F.aggregate(F.slice(c, 1, len(COMMON_WORDS)), F.lit(0.0), lambda s, x: s + x), F.element_at(c, -1))
+    own, ref = common(F.col("word_hist")), common(F.coalesce("ref_word_hist", "all_word_hist"))
+    rows = rows.withColumn("share_distance", F.when(F.col("n_words") >= config.min_words, js_distance(own, ref)))
+    kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= config.max_class) & ((F.coalesce("word_distance", F.lit(0.0)) <= config.max_words) | (F.coalesce("share_distance", F.lit(0.0)) <= config.max_share))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance", "share_distance")

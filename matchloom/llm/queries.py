@@ -60,7 +60,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance", "share_distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_html_extraction, op4_substring_dedup, op5_secret_scan, op6_chat_format, op7_sentencepiece, op8_source_mix, op9_topk, op10_quality_rules)}
