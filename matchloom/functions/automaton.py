@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -42,6 +43,18 @@ class Automaton:
         """Bytes before a chunk that a scan must see: longest pattern less one."""
         return max(0, self.max_length - 1)
 
+    @cached_property
+    def lanes(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """(step, least, own) for a scan: states are offsets of their rows, those with outputs come last and begin at least.
+
+        own names the latter as they are in the other tables.
+        """
+        order = np.argsort(self.count > 0, kind="stable")
+        place = np.empty(len(order), np.intp)
+        place[order] = np.arange(len(order)) * self.step.shape[1]
+        plain = int((self.count == 0).sum())
+        return place[self.step[order]].ravel(), plain * self.step.shape[1], order[plain:].astype(np.int32)
+
     def footprint(self, pattern_record: int = 16) -> int:
         """Bytes of the dense form with 256 columns of four bytes, as the formula of the reference figures has them."""
         return self.states * 1024 + 16 * self.states + 8 * self.own_outputs + 4 * len(self.pids) + int(self.lengths.sum()) + len(self.lengths) * pattern_record

@@ -27,27 +27,20 @@ def scan_buffer(a: Automaton, data: np.ndarray, lanes: int = LANES) -> tuple[np.
     buffer[halo : halo + n] = a.classes[data]
     view = np.lib.stride_tricks.as_strided(buffer, (lanes, size + halo), (size * buffer.itemsize, buffer.itemsize))
     columns = np.ascontiguousarray(view.T)
-    width = a.step.shape[1]
-    step = (a.step * width).ravel()
-    hits = np.repeat(a.count > 0, 1)
-    state = np.zeros(lanes, np.int32)
+    step, least, own = a.lanes
+    state, index, hit = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp), np.zeros(lanes, bool)
     base = np.arange(lanes, dtype=np.int64) * size
-    ends, states = [], []
+    found = np.zeros(size * lanes, np.int32)  # the state at each place that has outputs; 0 never has
     for t in range(size + halo):
-        state = step[state + columns[t]]
+        np.add(state, columns[t], out=index)
+        np.take(step, index, out=state, mode="clip")
         if t >= halo:
-            own = state // width
-            hit = np.flatnonzero(hits[own])
-            if len(hit):
-                ends.append(base[hit] + (t - halo))
-                states.append(own[hit])
-    if not ends:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends, states = np.concatenate(ends), np.concatenate(states).astype(np.int64)
-    inside = ends < n
-    ends, states = ends[inside], states[inside]
-    order = np.argsort(ends, kind="stable")
-    return ends[order], states[order]
+            np.greater_equal(state, least, out=hit)
+            at = np.flatnonzero(hit)
+            if len(at):
+                found[base[at] + (t - halo)] = own[(state[at] - least) // a.step.shape[1]]
+    ends = np.flatnonzero(found[:n])
+    return ends, found[ends].astype(np.int64)
 
 
 def expand(a: Automaton, ends: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,8 @@ from ..plans import chunks
 #: Environment variables that set a plan where the configuration does not (fixed values: their names).
 TASKS_ENV, SHARDS_ENV = "AC_DYN_TASKS_PER_THREAD", "AC_2D_K"
 MAX_STRATEGIES = 32
+#: A Parquet row group is read by one task and has this size by default, so a smaller input may be in fewer than cores.
+GROUP_BYTES = 128 << 20
 MAX_CACHED = 8
 
 
@@ -48,7 +50,7 @@ _cached: dict[tuple[str, str], Broadcast] = {}
 
 def dictionary(patterns: DataFrame, nocase: bool = False) -> list[tuple[int, bytes]]:
     """(pattern_id, pattern) of a dictionary, which is compiled on the driver and has to fit there."""
-    rows = patterns.select("pattern_id", "pattern").orderBy("pattern_id").collect()
+    rows = sorted(patterns.select("pattern_id", "pattern").collect())
     return [(r[0], fold(bytes(r[1])) if nocase else bytes(r[1])) for r in rows]
 
 
@@ -98,7 +100,7 @@ def count_rows(df: DataFrame, keys: list[str], automaton: Broadcast, nocase: boo
             row = pa.array(codes // width)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in keys), pa.array((codes % width).astype(np.int32)), pa.array(list(counts.values()), pa.int64())], [*keys, "pattern_id", "n"])
 
-    return df.select(*keys, "body").mapInArrow(run, f"{_schema(df, keys)}, pattern_id int, n long")
+    return dealt(df.select(*keys, "body")).mapInArrow(run, f"{_schema(df, keys)}, pattern_id int, n long")
 
 
 def bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -107,6 +109,15 @@ def bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.coalesce(body, F.lit(b"")).alias("body"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if the planner's estimate says that its row groups may be fewer; larger inputs are not shuffled."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * GROUP_BYTES else df
+
+
 Strategy = Callable[[DataFrame, list[str], list[tuple[int, bytes]], ScanConfig], DataFrame]
 _strategies: dict[str, Strategy] = {}
 
@@ -192,21 +203,21 @@ def _divided(df: DataFrame, keys: list[str], rows: list[tuple[int, bytes]], conf
 
 
 def _chunked(df, keys, rows, config):
-    return _divided(df, keys, rows, config, _threads(df, config))
+    return _divided(dealt(df), keys, rows, config, _threads(df, config))
 
 
 def _dynamic(df, keys, rows, config):
     per = config.tasks_per_thread or int(os.environ.get(TASKS_ENV, 0)) or 4
-    return _divided(df, keys, rows, config, _threads(df, config) * per)
+    return _divided(dealt(df), keys, rows, config, _threads(df, config) * per)
 
 
 def _sharded(df, keys, rows, config):
-    return _divided(df, keys, rows, config, 1, max(1, min(_threads(df, config), len(rows))))
+    return _divided(dealt(df), keys, rows, config, 1, max(1, min(_threads(df, config), len(rows))))
 
 
 def _two_d(df, keys, rows, config):
     k, n = chunks.two_d(_threads(df, config), len(rows), config.shards or int(os.environ.get(SHARDS_ENV, 2)))
-    return _divided(df, keys, rows, config, n, k)
+    return _divided(dealt(df), keys, rows, config, n, k)
 
 
 def _weighted(df, keys, rows, config):
@@ -214,7 +225,7 @@ def _weighted(df, keys, rows, config):
     weights = list(config.weights) or [1.0] * _threads(df, config)
     automaton = shared(df.sparkSession, rows)
     halo, total = automaton.value.halo, sum(weights)
-    df = df.withColumn("n_", F.octet_length("body").cast("long"))
+    df = dealt(df).withColumn("n_", F.octet_length("body").cast("long"))
     # Range ends follow one another, so they are columns built by a loop over the weights, of which there are few.
     ends, at = [], F.lit(0).cast("long")
     for k, w in enumerate(weights):
