@@ -32,14 +32,15 @@ class Rule:
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (Rule("assign", ASSIGN, 2, 8), Rule("access", "AKIA[A-Z0-9]+", 0, 16), Rule("hex", "[0-9a-f]+", 0, 32))
-#: What the method adds: public formats of tokens that the base kinds do not know.
+#: What the method adds: public formats of tokens that the base kinds do not know. A scheme is looked for at the start of
+#: a run of letters only, where its leftmost match begins anyway; from every letter a long run would take quadratic time.
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 24),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_password", r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
+    Rule("url_password", r"(?<![a-z])[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
 )
 RULES = BASE + ADDED
 
