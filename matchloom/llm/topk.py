@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SCALE = 1024
 BITS = 6
 CANDIDATES, QUERIES = 16384, 4096  # rows of a block
+ROUNDING = 2.0**-38  # more than sums of some thousand doubles can be off, in parts of the sum of absolute values
 READ = 64  # exact vectors that are read at once
 _OUT = "query_id long, vec_id long, score long"
 
@@ -56,7 +57,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         part = q[begin : begin + 256].astype(np.float64)
         # q * (low + (cell + 1/2) * width), for all dimensions
         middle = (part * width) @ cells.T.astype(np.float64) + (part @ (low + width / 2))[:, None]
-        slack = np.abs(part) @ width / 2 + 1
+        slack = np.abs(part) @ (width / 2 + ROUNDING * np.maximum(np.abs(low), np.abs(high))) + 1
         for i in range(len(part)):
             query = query_ids[begin + i]
             found, scores = best(ids, x, query, q[begin + i], middle[i], slack[i], k)
@@ -71,7 +72,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     product, ties go to the smaller vec_id. Vectors that are null, or hold null or non-finite components, or have no
     vec_id take no part; a vector is compared with those of its own length; of rows that share a query's vec_id the
     smallest vector asks and none is a candidate; other repeated rows are candidates each; an empty table gives an empty
-    result. Components of 2^25 and more would let a score leave the range of long and take no part either.
+    result. Scores have to fit a long, as they do for components below 2^18 in 64 dimensions; those of 2^25 and more take no
+    part.
     """
     spark = vectors.sparkSession
     finite = F.forall("e_", lambda c: c.isNotNull() & (F.abs(c) < float(2**25)))  # NaN is above all numbers
