@@ -27,7 +27,6 @@ from .hashing import by_bytes, runs_equal
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_WORD = re.compile(f"[\n\t\r]|{SPACE}*[^{SPACE}\n\t\r]+|{SPACE}+")
 SLICE_BYTES = 6_000_000  # of text whose words are encoded together
 INDEX_CHARS = 1_000_000  # of distinct words that are indexed at once; a longer word has an index of its own
 CACHE_BITS = 20
@@ -81,6 +80,14 @@ class Model:
     dummy_prefix: bool
 
     def __post_init__(self):
+        # Texts are cut only where no merge can cross: around \n, \t and \r if no longer piece holds them, and before
+        # spaces if no piece has one after another character.
+        joint = [p for i, p in enumerate(self.pieces) if self.rank[i] >= 0 and len(p) > 1]
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in joint))
+        other = f"[^{alone}]" if alone else "[\\s\\S]"
+        inner = any(SPACE in p.lstrip(SPACE) for p in joint)
+        word = f"{other}+" if inner else f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+"
+        self.words = re.compile(f"[{alone}]|{word}" if alone else word)
         self.ranks = self.rank.tolist()
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.rank[i] >= 0}
         self.byte_id = {b: i for i, b in self.byte_of.items()}
@@ -298,7 +305,7 @@ def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.
     number.default_factory = number.__len__
     rows, counts = [], []
     for t in texts:
-        found = _WORD.findall((SPACE if model.dummy_prefix else "") + t.replace(" ", SPACE)) if t else []
+        found = model.words.findall((SPACE if model.dummy_prefix else "") + t.replace(" ", SPACE)) if t else []
         rows += [number[w] for w in found]
         counts.append(len(found))
     words = list(number)

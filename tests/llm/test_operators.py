@@ -197,6 +197,18 @@ def test_pieces(model):
         assert ids[a:b].tolist() == library.encode(t) and sentencepiece.decode(model, ids[a:b].tolist()) == library.decode(library.encode(t))
 
 
+def test_pieces_across_line_ends(model):
+    """Pieces of the model hold a carriage return; none holds a line feed or a tab, so texts are cut at those only."""
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rng = random.Random(4)
+    parts = [p.replace("▁", " ") for p in model.pieces if "\r" in p] + ["\r\n", "\r", "\n", "\t", " ", "  ", ";", "}", "int", "é", "日"]
+    texts = ["int a;\r\n", "{\r\n\tf();\r\n}\r\n\r\n", "old\rMac\r", "\r" * 7] + ["".join(rng.choice(parts) for _ in range(12)) for _ in range(2000)]
+    ids, first = sentencepiece.encode_batch(model, texts)
+    for t, a, b in zip(texts, first, first[1:]):
+        assert ids[a:b].tolist() == library.encode(t) and sentencepiece.decode(model, ids[a:b].tolist()) == t
+    assert model.words.findall("▁a;\r\n\tb") == ["▁a;\r", "\n", "\t", "b"]
+
+
 def test_encode_table(docs, none):
     clash = docs.withColumn("ids", F.lit(1))
     rows = sentencepiece.encode(clash).collect()
