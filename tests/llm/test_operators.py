@@ -120,6 +120,19 @@ def test_wrapper_induction(spark):
     assert out == {k: f"Story {k}" for k in range(6)} | {10 + k: "Copy of one page" for k in range(4)}
 
 
+def pages_text(spark, pages):
+    rows = [(k, f"http://h.org/{k}", h) for k, h in enumerate(pages)]
+    out = dict(map(tuple, htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()))
+    return [out[k] for k in range(len(rows))]
+
+
+def test_wrapper_induction_in_article(spark):
+    """An article or main narrows where content is; what the host repeats inside it is template as elsewhere."""
+    for tag in ("article", "main"):
+        pages = [f"<body><div>Other {k}</div><{tag}><h1>Head {k}</h1><div class=note>Support our work today</div><p>Story {k}</p></{tag}></body>" for k in range(6)]
+        assert pages_text(spark, pages) == [f"Head {k} Story {k}" for k in range(6)]
+
+
 def test_align():
     a = htmltext.Page("<body><div><p>x</p></div><ul></ul></body>").skeleton()
     b = htmltext.Page("<body><table></table><div><h2></h2><p>x</p></div></body>").skeleton()
