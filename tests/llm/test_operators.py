@@ -133,6 +133,27 @@ def test_wrapper_induction_in_article(spark):
         assert pages_text(spark, pages) == [f"Head {k} Story {k}" for k in range(6)]
 
 
+def test_names(spark):
+    """Parts of different id or role stay apart; names on the page, an article or what holds it do not switch it off."""
+    cases = [
+        ("<div id=sidebar>no</div><div id=content><article><p>Story</p></article></div><div id=footer><p>no</p></div>", "Story"),
+        ("<div id=content>Story <p>one</p></div><div id=sidebar>no<p>no</p></div><div role=navigation><p>no</p></div>", "Story one"),
+        ("<div class='page with-sidebar'><div data-id=sidebar>Story</div></div>", "Story"),
+        ("<div class=sidebar><article class='post widget'>Story<div class=ad>no</div></article></div>", "Story"),
+        ("<article>Story<div id=comments><article class=comment>no</article></div></article><div id=sidebar><article>no</article></div>", "Story"),
+        ("<main><div class=comments><article>no</article></div><div class=menu><article>Story</article></div></main>", "Story"),
+        ("<main><h1>Head</h1><div class='menu content'><article>Story</article></div></main>", "Head Story"),
+        ("<footer><article>no</article></footer><p>Story</p>", "Story"),
+    ]
+    for body in ("<body>", "<body class='home has-sidebar'>", "<body class=no-sidebar id=widget>"):
+        for page, expected in cases:
+            page = htmltext.Page(f"<html>{body}{page}</body></html>")
+            assert htmltext.main_text(page, page.skeleton(), {}) == expected
+    pages = [f"<body><div id=post-{k}><p>Story {k}</p></div><div id=note>Same on all pages</div></body>" for k in range(5)]
+    pages += [f"<body><div id=note>Same on all pages</div><div id=intro>Intro {k}</div></body>" for k in range(5, 7)]
+    assert pages_text(spark, pages) == [f"Story {k}" for k in range(5)] + ["Intro 5", "Intro 6"]
+
+
 def test_align():
     a = htmltext.Page("<body><div><p>x</p></div><ul></ul></body>").skeleton()
     b = htmltext.Page("<body><table></table><div><h2></h2><p>x</p></div></body>").skeleton()
