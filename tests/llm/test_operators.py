@@ -133,6 +133,20 @@ def test_wrapper_induction_in_article(spark):
         assert pages_text(spark, pages) == [f"Head {k} Story {k}" for k in range(6)]
 
 
+def test_copies_are_no_template(spark):
+    """Many copies of a page count once, and template goes only where its text is."""
+    page = "<body><div class=top>Same on all pages</div><div class=date>Day {}</div><div class=body>{}</div></body>"
+    copy, own = "One story that is copied many times. " * 5 + "End", "Another story that is told only once " * 3
+    for n, copies in ((10, 8), (100, 98)):
+        bodies = [copy if k < copies else f"{own}{k}" for k in range(n)]
+        pages, expected = [page.format(k, b) for k, b in enumerate(bodies)], [f"Day {k} {b}" for k, b in enumerate(bodies)]
+        assert pages_text(spark, pages) == expected
+        assert pages_text(spark, [p.replace("div class=body", "article").replace("</div></body>", "</article></body>") for p in pages]) == bodies
+        assert pages_text(spark, pages[:copies]) == [f"Same on all pages {t}" for t in expected[:copies]]  # one content says nothing
+    pages = [page.format(k, f"Story number {k}") for k in range(9)] + ["<body><div class=top>Only here</div><div class=body>Story</div></body>"]
+    assert pages_text(spark, pages) == [f"Day {k} Story number {k}" for k in range(9)] + ["Only here Story"]
+
+
 def test_names(spark):
     """Parts of different id or role stay apart; names on the page, an article or what holds it do not switch it off."""
     cases = [
