@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the columns stay."""
-    return mixing.repeat_rows(docs)
+    """Documents as often as the mix takes them, each whole; the columns stay."""
+    return mixing.repeat_rows(docs, uncut=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,14 +63,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     return df.select("doc_id", "source", "size", "source_size", "target", "whole", "rest", (F.col("whole") * F.col("size") + F.col("rest")).alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, **how) -> DataFrame:
+def repeat_rows(docs: DataFrame, uncut: bool = False, **how) -> DataFrame:
     """The rows of docs as mix(docs, **how) takes them: whole repetitions, and of a rest below the size its first words.
 
+    With uncut such a document is taken whole once more if the rest is half of it or more, else not: no text is cut, and
+    a source misses its target by at most half a document.
     Columns and their order stay; n_chars, if there, follows the text. Rows repeated in full share the larger count.
     """
     key = F.struct("doc_id", F.xxhash64("text", "source"))
     mixed = mix(docs.select(key.alias("doc_id"), "text", "source"), **how).filter("taken > 0")
     counts = mixed.groupBy(F.col("doc_id").alias("key_")).agg(F.max("size").alias("size_"), F.max("whole").alias("whole_"), F.max("rest").alias("rest_"))
+    if uncut:
+        counts = counts.withColumn("rest_", F.when(2 * F.col("rest_") >= F.col("size_"), F.col("size_")).otherwise(F.lit(0).cast("long")))
     df = docs.select(F.struct(*docs.columns).alias("row_"), key.alias("key_")).join(counts, "key_")
     times = F.concat(F.array_repeat("size_", F.col("whole_").cast("int")), F.when(F.col("rest_") > 0, F.array("rest_")).otherwise(F.array().cast("array<bigint>")))
     df = df.select("row_", "size_", F.explode(times).alias("take_"))

@@ -46,5 +46,15 @@ def test_stages_keep_columns(spark):
             out.collect()
 
 
+def test_mix_cuts_no_text(spark):
+    """Every text that leaves the mix is one that entered it, white space included; targets are met to half a document."""
+    rows = [(k, " \n".join(f"w{k}x{i}" for i in range(5 + 37 * k % 90)) + "\n", f"s{k % 3}", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = corpus_pipeline.source_mix(spark, docs, SF).collect()
+    assert out and {(r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in out} <= {*rows}
+    for source, (_, target) in brute.mix([r[:3] for r in rows]).items():
+        assert abs(sum(len(r["text"].split()) for r in out if r["source"] == source) - target) <= 48
+
+
 def test_names():
     assert [f"op{n}" for n in range(1, 11)] == [k.split("_")[0] for k in QUERIES] and 4 <= len(corpus_pipeline.STAGES) <= 5
