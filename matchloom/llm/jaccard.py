@@ -360,11 +360,30 @@ def join(docs: DataFrame, local: int = LOCAL) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+FEW = 100_000  # ids, 16 bytes each, that are broadcast
+
+
 def keep_first(docs: DataFrame, local: int = LOCAL) -> DataFrame:
     """The row of each near-duplicate class with the smallest doc_id; documents without words or doc_id all stay.
 
-    Of several rows with one doc_id one stays. Columns and their order stay.
+    Rows are told apart by doc_id and text: rows that share a doc_id are compared by their texts as any others are, and
+    of equal doc_ids in a class the text with the smaller hash stays. Of rows with one doc_id and text one stays, by the
+    hash of all columns. Columns and their order stay.
     """
-    kept = join(docs, local).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    id_, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    shared = docs.select(id_.alias("id_"), text.alias("text_")).filter("id_ is not null").groupBy("id_").agg(F.min("text_").alias("low_"), F.max("text_").alias("high_"))
+    shared = cut(shared.filter("low_ <> high_").select("id_", F.lit(True).alias("shared_")))
+    n = shared.count()  # no ids are shared as a rule; then, or if few are, no row moves for them
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), id_.alias("id_")).filter("id_ is not null")
+    if n:
+        rows = rows.join(F.broadcast(shared) if n <= FEW else shared, "id_", "left")
+        rows = rows.select("row_", "id_", F.when(F.col("shared_"), F.xxhash64("id_", "row_.text")).otherwise(F.col("id_")).alias("node_"))
+        names = rows.filter("node_ <> id_").select("node_", "id_").distinct()
+        found = join(rows.select(F.col("node_").alias("doc_id"), "row_.text"), local).select(F.col("doc_id").alias("node_"), "component_id").distinct().join(names, "node_", "left")
+        kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("id_", "node_").alias("id_"), "node_")).alias("x")).select("x.node_")
+    else:
+        rows = rows.select("row_", F.col("id_").alias("node_"))
+        kept = join(docs, local).filter("doc_id = component_id").select(F.col("doc_id").alias("node_")).distinct()
+    order = F.xxhash64(*[F.col("row_")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
+    first = rows.join(kept, "node_", "left_semi").groupBy("node_").agg(F.min_by("row_", order).alias("row_")).select("row_.*")
+    return first.unionByName(docs.filter(id_.isNull()))

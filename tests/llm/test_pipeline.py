@@ -56,5 +56,17 @@ def test_mix_cuts_no_text(spark):
         assert abs(sum(len(r["text"].split()) for r in out if r["source"] == source) - target) <= 48
 
 
+def test_duplicates_by_text(spark):
+    """Rows of one doc_id but different texts are documents of their own; which of equal rows stays is fixed."""
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abce")
+    rows = [(1, a, 1), (1, b, 1), (2, b, 1), (3, c, 1), (3, c, 2), (4, a, 1), (5, None, 1), (5, "", 1), (None, c, 1), (-6, e, 1), (7, e, 1)]
+    outs = []
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(n)
+        outs.append(sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr))
+    assert outs[0] == outs[1]
+    assert sorted((r[:2] for r in outs[0]), key=repr) == sorted([(1, a), (1, b), (3, c), (5, None), (5, ""), (None, c), (-6, e)], key=repr)
+
+
 def test_names():
     assert [f"op{n}" for n in range(1, 11)] == [k.split("_")[0] for k in QUERIES] and 4 <= len(corpus_pipeline.STAGES) <= 5
