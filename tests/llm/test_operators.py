@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -294,10 +296,42 @@ def test_topk(spark):
         best = [k for k in np.lexsort([np.arange(700), -s]) if k != q][:10]
         expected += [(q, r + 1, int(k), int(s[k])) for r, k in enumerate(best)]
     expected.append((5300, 1, 5301, 3 * 1024 * 2048))
-    assert sorted(map(tuple, topk.search(df).collect())) == expected
+    for how in ({}, {"candidates": 50, "queries": 3}):
+        assert sorted(map(tuple, topk.search(df, **how).collect())) == expected
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_of_any_size(spark):
+    """Finite components count however large they are; a score beyond a long is an error if it is one of the k best."""
+    rows = [(0, [1.0, 2.0]), (1, [4e7, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (None, [1.0, 1.0]), (4, [-3e38, 0.0]), (100, [0.5, -0.25]), (100, [9.0, 9.0]), (200, []), (5, [float("inf"), 1.0]), (6, [2.0**41 + 2.0**18, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def brute(rows, k):
+        ints = [(i, [int(Fraction(x) * 1024 // 1) for x in np.float32(v).astype(float).tolist()]) for i, v in rows if i is not None and v and all(map(math.isfinite, v))]
+        asks, out = {}, []
+        for i, v in sorted(ints):
+            if i % 100 == 0:
+                asks.setdefault(i, v)
+        for q, a in asks.items():
+            scores = sorted((-sum(x * y for x, y in zip(a, v)), i) for i, v in ints if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+        return sorted(out)
+
+    small = [r for r in rows if r[0] != 4]
+    for k in (2, 10):
+        assert sorted(map(tuple, topk.search(df.filter("vec_id <> 4"), k=k).collect())) == brute(small, k)
+    assert sorted(map(tuple, topk.search(df, k=2).collect())) == brute(rows, 2)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(df).collect()
+
+
+def test_topk_of_copies(spark):
+    """Of many equal vectors those with the smallest ids are found, and no more than a few of them are looked at."""
+    rows = [(k, [1.0, 2.0, 3.0] if k % 3 == 0 else [float(k % 7), 1.0, 0.5]) for k in range(3000)]
+    out = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).filter("query_id = 300").orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [3 * i for i in range(10)]
+
+
 def test_quality(docs, none):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     rows = quality.judge(docs).collect()
