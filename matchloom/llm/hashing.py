@@ -1,7 +1,12 @@
-"""Words of many texts at once and 64-bit hashes of runs of words, in numpy."""
+"""Words of many texts at once and hashes of runs of words, in numpy.
+
+There are two hash functions of 64 bits with keys of their own (lane 0 and 1). Where equality of words decides a result,
+one finds candidates and the other confirms them.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,17 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RANDOM = np.random.default_rng(20240229)
-#: A random odd number for each byte; bytes of white space count nothing.
-_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUES[IS_SPACE] = 0
-_FOLDED = _VALUES.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += 32
+#: Odd multipliers, one for each of the hash functions that are told apart by lane.
+_STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15))
+_KEYS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D))
+#: The first k bytes of eight.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SLICE = 2_000_000  # bytes of text that are worked on at once
+LONG = 64  # bytes of a word from which on it is hashed by itself
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,17 +36,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_powers = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 4096), np.uint64(_BASE))]), dtype=np.uint64)
-    return _powers
-
-
 def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts of data into slices of about SLICE bytes, each beginning with white space."""
     begin = 0
@@ -60,6 +54,7 @@ class Words:
     hashes: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    lane: int = 0
 
     @property
     def place(self) -> np.ndarray:
@@ -67,36 +62,59 @@ class Words:
         return np.arange(len(self.row)) - self.first[self.row]
 
 
-def hash_words(texts: pa.Array, fold: bool = False) -> Words:
-    """The words of an array of strings; a null string has none. fold: A-Z count as a-z."""
+def _hash_slices(part: np.ndarray, at: np.ndarray, size: np.ndarray, lane: int) -> np.ndarray:
+    """64-bit hashes of the words part[at : at + size]: eight bytes at a time, each followed by a bijection that spreads them.
+
+    So words of the same size of up to eight bytes never collide, others by chance only; words beyond LONG bytes go
+    through BLAKE2.
+    """
+    padded = np.append(part, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(part) + 1, "<u8", padded, 0, (1,))
+    with np.errstate(over="ignore"):
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * _KEYS[lane])
+        own, done = np.flatnonzero(size <= LONG), 0
+        while len(own):
+            word = eight[at[own] + done] & _MASKS[np.minimum(size[own] - done, 8)]
+            h[own] = mix(h[own] * _STEPS[lane] ^ word)
+            done += 8
+            own = own[size[own] > done]
+    key = int(_KEYS[lane]).to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(part[at[i] : at[i] + size[i]].data, digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def hash_words(texts: pa.Array, fold: bool = False, lane: int = 0) -> Words:
+    """The words of an array of strings; a null string has none. fold: A-Z count as a-z. lane: one of two hash functions."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
-    values = _FOLDED if fold else _VALUES
     hashes, places = [], []
     begins = np.zeros(len(data) + 1, bool)
-    begins[offsets[:-1]] = True
+    begins[offsets] = True
     for a, b in _pieces(data):
-        part = data[a:b]
+        part = _FOLDED[data[a:b]] if fold else data[a:b]
         word = ~IS_SPACE[part]
         start = word.copy()
         start[1:] &= ~word[:-1] | begins[a + 1 : b]
+        end = word.copy()
+        end[:-1] &= ~word[1:] | begins[a + 1 : b]
         at = np.flatnonzero(start)
         if not len(at):
             continue
-        size = np.diff(np.append(at, len(part)))
-        inside = np.arange(at[0], len(part)) - np.repeat(at, size)
-        # What follows a word up to the next is white space and adds nothing.
-        with np.errstate(over="ignore"):
-            h = np.add.reduceat(values[part[at[0] :]] * _powers_to(int(size.max()) + 1)[inside], np.arange(len(at)) * 0 + at - at[0])
-        hashes.append(mix(h))
+        hashes.append(_hash_slices(part, at, np.flatnonzero(end) + 1 - at, lane))
         places.append(at + a)
     hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     places = np.concatenate(places) if places else np.zeros(0, np.int64)
     row = np.searchsorted(offsets, places, "right") - 1
-    return Words(hashes, row, np.searchsorted(row, np.arange(n + 1)))
+    return Words(hashes, row, np.searchsorted(row, np.arange(n + 1)), lane)
+
+
+def _joined(h: np.ndarray, more: np.ndarray, lane: int) -> np.ndarray:
+    """The hash of a run that goes on by a word; the shift keeps it from being a polynomial."""
+    return (h ^ (h >> np.uint64(29))) * _STEPS[lane] + more
 
 
 def hash_runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +125,21 @@ def hash_runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
         for k in range(size):
-            h = h * _STEP + words.hashes[k : k + n]
+            h = _joined(h, words.hashes[k : k + n], words.lane)
         h = mix(h)
     own = np.flatnonzero(words.row[:n] == words.row[size - 1 :])
     return own, h[own]
 
 
-def runs_equal(keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal keys in a sorted array."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+def runs_equal(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys in a sorted array, or in several side by side."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
 def found_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -126,6 +150,20 @@ def found_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def found_pairs(table: np.ndarray, checks: np.ndarray, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each key with its own check number its place in the table, sorted by key, or -1; keys may repeat with other checks."""
+    at = np.searchsorted(table, keys)
+    while True:
+        inside = np.minimum(at, len(table) - 1)
+        other = np.flatnonzero((at < len(table)) & (table[inside] == keys) & (checks[inside] != own)) if len(table) else at[:0]
+        if not len(other):
+            break
+        at[other] += 1
+    if not len(table):
+        return np.full(len(keys), -1)
+    return np.where((at < len(table)) & (table[inside] == keys), at, -1)
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose strings of one column have about most bytes together; a longer string is a slice of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -151,7 +189,7 @@ def hash_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             own = np.zeros(len(short), np.uint64)
             for k in range(size - 1):
                 has = k < n[short]
-                own[has] = own[has] * _STEP + words.hashes[words.first[short[has]] + k]
+                own[has] = _joined(own[has], words.hashes[words.first[short[has]] + k], words.lane)
             own = mix(own + n[short].astype(np.uint64))
         row, h = np.append(row, short), np.append(h, own)
         order = np.argsort(row, kind="stable")

@@ -3,7 +3,8 @@
 Hashes of 7 words are taken only at places whose number in the document is in a difference cover modulo 7. Of two equal
 windows of 13 words, wherever they start, both have such an anchor at the same distance from their start. Anchors that
 occur in one document only are dropped; around the others the windows of 13 words are hashed, and each window learns
-the smallest document that has it.
+the smallest document that has it. Windows are told apart by 96 bits of two hash functions: over the 1e13 windows of
+100 TB the odds that any two different ones agree are below one in a thousand.
 
 Documents are dealt into chunks by a hash of their id; the chunks' texts are shuffled once and that exchange is used
 three times. A chunk sends each anchor and window once, whatever the number of its documents that have it, so a passage
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for
-from .hashing import by_bytes, found_in, hash_runs, hash_words, runs_equal
+from .hashing import by_bytes, found_in, found_pairs, hash_runs, hash_words, runs_equal
 
 WINDOW, ANCHOR = 13, 7
 PERIOD = WINDOW - ANCHOR + 1
@@ -64,21 +65,33 @@ def _anchors(words) -> tuple[np.ndarray, np.ndarray]:
     return at[own], (h[own] >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
 
 
-def _by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each distinct key with its smallest and largest document."""
+def _by_key(keys: np.ndarray, docs: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Each distinct key with its smallest and largest document; with checks, each key and check, these last.
+
+    If a key has several checks, a pair may come more than once, each time with some of its documents.
+    """
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
-    at = runs_equal(keys)
+    checks = np.zeros(len(keys), np.int32) if checks is None else checks[order]
+    at = runs_equal(keys, checks)
     if not len(at):
-        return keys, docs, docs
-    return keys[at], np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
+        return keys, docs, docs, checks
+    return keys[at], np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at), checks[at]
+
+
+def _windows(texts: pa.Array, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, keys, checks) of the windows of texts; near: only those whose first word's number it marks."""
+    start, key = hash_runs(hash_words(texts), WINDOW)
+    check = (hash_runs(hash_words(texts, lane=1), WINDOW)[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    own = slice(None) if near is None else near[start]
+    return start[own], key[own].astype(np.int64), check[own]
 
 
 def _send_anchors(group: pa.Table) -> pa.Table:
     docs, texts = _columns(group)
     words = hash_words(texts)
     at, keys = _anchors(words)
-    keys, low, high = _by_key(keys, docs[words.row[at]])
+    keys, low, high, _ = _by_key(keys, docs[words.row[at]])
     return pa.table({"key": keys, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "multi": low != high})
 
 
@@ -101,7 +114,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     if not group.num_rows:
-        return pa.table({"key": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
+        return pa.table({c: pa.array([], pa.int32() if c in ("check", "chunk") else pa.int64()) for c in ("key", "check", "chunk", "low", "more")})
     docs, texts = _columns(group)
     words = hash_words(texts)
     at, keys = _anchors(words)
@@ -109,27 +122,26 @@ def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     near = np.zeros(len(words.row) + 1, np.int32)  # windows start up to PERIOD - 1 words before an anchor
     np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
     np.add.at(near, at + 1, -1)
-    start, h = hash_runs(words, WINDOW)
-    own = np.cumsum(near)[start] > 0
-    keys, low, high = _by_key(h[own].astype(np.int64), docs[words.row[start[own]]])
-    return pa.table({"key": keys, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "low": low, "more": high - low})
+    start, keys, checks = _windows(texts, np.cumsum(near) > 0)
+    keys, low, high, checks = _by_key(keys, docs[words.row[start]], checks)
+    return pa.table({"key": keys, "check": checks, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "low": low, "more": high - low})
 
 
 def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and low, those whose chunk has a larger document than the key's smallest, with that one."""
+    """Of rows sorted by key, check and low, those whose chunk has a larger document than the window's smallest, with that one."""
     last, least = None, None
     for batch in batches:
-        key, chunk, low, more = (batch.column(c).to_numpy() for c in ("key", "chunk", "low", "more"))
+        key, check, chunk, low, more = (batch.column(c).to_numpy() for c in ("key", "check", "chunk", "low", "more"))
         if not len(key):
             continue
-        at = runs_equal(key)
+        at = runs_equal(key, check)
         first = low[at].copy()
-        if last is not None and key[0] == last:
+        if last == (key[0], check[0]):
             first[0] = least
-        last, least = key[-1], first[-1]
+        last, least = (key[-1], check[-1]), first[-1]
         first = np.repeat(first, np.diff(np.append(at, len(key))))
         rows = low + more > first
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[rows], pa.int32()), "key": pa.array(key[rows], pa.int64()), "first": pa.array(first[rows], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[rows], pa.int32()), "key": pa.array(key[rows], pa.int64()), "check": pa.array(check[rows], pa.int32()), "first": pa.array(first[rows], pa.int64())})
 
 
 def _cut(group: pa.Table, known: pa.Table, with_text: bool) -> pa.Table:
@@ -138,10 +150,10 @@ def _cut(group: pa.Table, known: pa.Table, with_text: bool) -> pa.Table:
         return pa.table({k: pa.array([], v) for k, v in names.items()})
     docs, texts = _columns(group)
     words = hash_words(texts)
-    start, h = hash_runs(words, WINDOW)
-    key, first = known.column("key").to_numpy(), known.column("first").to_numpy()
+    start, keys, checks = _windows(texts)
+    key, check, first = (known.column(c).to_numpy() for c in ("key", "check", "first"))
     order = np.argsort(key)
-    at = found_in(key[order], h.astype(np.int64))
+    at = found_pairs(key[order], check[order], keys, checks)
     gone = start[(at >= 0) & (first[order][at] < docs[words.row[start]])] if len(key) else start[:0]
     edge = np.zeros(len(words.row) + 1, np.int32)
     edge[gone] += 1
@@ -178,8 +190,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     dealt = docs.select(F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"), ids.alias("doc_id"), "text").mapInArrow(_pack, "chunk int, rows binary")
     anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors, "key long, chunk int, multi boolean")
     repeated = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "chunk int, key long")
-    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, chunk int, low long, more long")
-    known = windows.repartition("key").sortWithinPartitions("key", "low").mapInArrow(_smallest, "chunk int, key long, first long")
+    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, check int, chunk int, low long, more long")
+    known = windows.repartition("key").sortWithinPartitions("key", "check", "low").mapInArrow(_smallest, "chunk int, key long, check int, first long")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def last(group: pa.Table, own: pa.Table) -> pa.Table:
