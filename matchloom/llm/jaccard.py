@@ -7,6 +7,9 @@ and have compatible sizes are joined into regions, and a document that meets nob
 pivots are documents: every document goes to the region of its nearest pivot and, if the triangle inequality lets a
 partner be there, also to others; a region whose documents are all known to be connected is done; the rest recurses.
 
+Shingles are compared by hashes: one function finds what may link, another, with nothing in common, measures it. A false
+link would need both to collide.
+
 A region within `local` shingles is solved in one task; a larger one is dealt out: each round measures the distances to
 a few pivots in chunks, and regions that no longer shrink are joined block by block. Copies are one document throughout.
 """
@@ -34,13 +37,15 @@ LEVEL_BITS = 12
 SLICE_BYTES = 4_000_000
 PIVOTS = 16  # of a round over a region that is dealt out
 SALT = 16
-LOCAL = 8_000_000  # shingles
+LOCAL = 60_000  # shingles
+HOT = 2000  # documents with a shingle from which on its group is met in parts
 CHUNK_BYTES = 8_000_000
 SLACK = 1e-9
 
 
-def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return hash_sets(hash_words(texts, fold=True), SIZE)
+def _sets(texts: pa.Array, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets by one of two hash functions: lane 0 finds what may link, lane 1 measures it."""
+    return hash_sets(hash_words(texts, fold=True, lane=lane), SIZE)
 
 
 def _text(column) -> pa.Array:
@@ -48,16 +53,15 @@ def _text(column) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
 
 
-def _fingerprints(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers for each set."""
+def _fingerprint(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each set."""
     n = np.diff(first)
-    one, two = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    out = np.zeros(len(n), np.uint64)
     if len(elements):
         own = np.flatnonzero(n)
         with np.errstate(over="ignore"):
-            one[own] = np.add.reduceat(elements, first[own])
-            two[own] = np.bitwise_xor.reduceat(mix(elements ^ np.uint64(0x5851F42D4C957F2D)), first[own])
-    return one.astype(np.int64), two.astype(np.int64)
+            out[own] = np.add.reduceat(mix(elements), first[own])
+    return out.astype(np.int64)
 
 
 _SEEN = "doc_id long, n long, fp1 long, fp2 long, slice int, counts binary"
@@ -69,9 +73,9 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     null = lambda n, kind: pa.nulls(n, kind)
     for whole in batches:
         for batch in by_bytes(whole, "text", SLICE_BYTES):
-            elements, first = _sets(_text(batch.column("text")))
+            elements, first = _sets(_text(batch.column("text")), 0)
             counts += np.bincount((elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            one, two = _fingerprints(elements, first)
+            one, two = _fingerprint(elements, first), _fingerprint(*_sets(_text(batch.column("text")), 1))
             k = batch.num_rows
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(np.diff(first), pa.int64()), "fp1": pa.array(one), "fp2": pa.array(two), "slice": null(k, pa.int32()), "counts": null(k, pa.binary())})
     if counts.any():
@@ -94,16 +98,21 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.round(127 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
 
 
-def _prefixes(levels: np.ndarray):
+def _parts(levels: np.ndarray, hot: int) -> np.ndarray:
+    """By how common a shingle is, the parts in which its group is met: 1 up to hot documents, or 8 times what is usual."""
+    count = 2.0 ** (np.arange(int(levels.max(initial=0)) + 1) / 127)
+    return np.ceil(count / max(hot, 8 * float(count[levels].mean()))).astype(np.int64)
+
+
+def _prefixes(levels: np.ndarray, parts: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # of copies within a task only the first is sent
         for whole in batches:
             for batch in by_bytes(whole, "text", SLICE_BYTES):
-                elements, first = _sets(_text(batch.column("text")))
+                elements, first = _sets(_text(batch.column("text")), 0)
                 n = np.diff(first)
-                one, two = _fingerprints(elements, first)
                 new = np.zeros(len(n), bool)
-                for i, fp in enumerate(zip(one.tolist(), two.tolist())):
+                for i, fp in enumerate(zip(_fingerprint(elements, first).tolist(), n.tolist())):
                     if n[i] and fp not in seen:
                         seen.add(fp)
                         new[i] = True
@@ -116,31 +125,57 @@ def _prefixes(levels: np.ndarray):
                 size = np.where(new, np.minimum(most, n), 0)
                 rows = np.repeat(np.arange(len(n)), size)
                 at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1], size)
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at].astype(np.int64)), "n": pa.array(n[rows].astype(np.int32)), "doc_id": pa.array(ids[rows], pa.int64())})
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[rows]
+                with np.errstate(over="ignore"):
+                    dealt = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                many = parts[(keys[at] >> np.uint64(63 - LEVEL_BITS)).astype(np.int64)]
+                part = np.where(many > 1, dealt % many, WHOLE).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at].astype(np.int64)), "part": pa.array(part), "n": pa.array(n[rows].astype(np.int32)), "doc_id": pa.array(ids, pa.int64())})
 
     return emit
 
 
+WHOLE = -1  # the part of a shingle that is met at once
+_MET = "a long, b long, key long, n int"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and n: an edge from the first document to every other that meets it under the key.
+    """Of rows sorted by key, part and n: an edge (a, b) from the first document to every other that meets it.
 
-    Where the next size is too large for the one before, a new group begins. Holds back the group's first document.
+    Where the next size is too large for the one before, a new group begins. A group of a part also gives a row
+    (key, n, a) for each size that it has, by which the parts' groups meet. Holds back the group's first document.
     """
-    key0, n0, head = None, 0, 0
+    last, n0, head = None, 0, 0
     for batch in batches:
-        key, n, doc = (batch.column(c).to_numpy() for c in ("key", "n", "doc_id"))
+        key, part, n, doc = (batch.column(c).to_numpy() for c in ("key", "part", "n", "doc_id"))
         if not len(key):
             continue
-        begin = np.ones(len(key), bool)
-        begin[1:] = (key[1:] != key[:-1]) | (DEN * n[:-1].astype(np.int64) < NUM * n[1:].astype(np.int64))
-        begin[0] = key0 is None or key[0] != key0 or DEN * int(n0) < NUM * int(n[0])
+        other = np.zeros(len(key), bool)
+        other[runs_equal(key, part)] = True
+        other[0] = last != (key[0], part[0])
+        before = np.append(n0, n[:-1]).astype(np.int64)
+        begin = other | (DEN * before < NUM * n.astype(np.int64))
+        sizes = (begin | (before != n)) & (part != WHOLE)
         at = np.flatnonzero(begin)
         heads = np.repeat(np.append([head], doc[at]), np.diff(np.concatenate([[0], at, [len(key)]])))
-        key0, n0, head = key[-1], n[-1], heads[-1]
-        other = heads != doc
-        pairs = np.unique(np.stack([heads[other], doc[other]], 1), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        last, n0, head = (key[-1], part[-1]), n[-1], heads[-1]
+        apart = heads != doc
+        pairs = np.unique(np.stack([heads[apart], doc[apart]], 1), axis=0)
+        none = lambda k, kind: pa.nulls(k, kind)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "key": none(len(pairs), pa.int64()), "n": none(len(pairs), pa.int32())})
+        if sizes.any():
+            yield pa.RecordBatch.from_pydict({"a": pa.array(heads[sizes], pa.int64()), "b": none(sizes.sum(), pa.int64()), "key": pa.array(key[sizes], pa.int64()), "n": pa.array(n[sizes], pa.int32())})
+
+
+def meetings(prefixes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect documents which meet under a shingle and have sizes that may link: prefixes(key, part, n, doc_id).
+
+    The documents of a common shingle are dealt out; what comes of their parts is a row for each size, and those meet.
+    """
+    met = cut(prefixes.repartition("key", "part").sortWithinPartitions("key", "part", "n", "doc_id").mapInArrow(_meet, _MET))
+    heads = met.filter("key is not null").select("key", F.lit(WHOLE).alias("part"), "n", F.col("a").alias("doc_id"))
+    heads = heads.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, _MET)
+    return met.filter("key is null").select("a", "b").unionByName(heads.select("a", "b")).distinct()
 
 
 class _Region:
@@ -221,7 +256,7 @@ class _Region:
 
 def _solve(group: pa.Table) -> pa.Table:
     """Links that connect what is connected within each region of the group: (smallest document, document)."""
-    elements, first = _sets(_text(group.column("text")))
+    elements, first = _sets(_text(group.column("text")), 1)
     docs, regions = group.column("doc_id").to_numpy(), group.column("region").to_numpy()
     order = np.lexsort([docs, regions])
     a, b = [], []
@@ -241,8 +276,8 @@ def _similar(group: pa.Table, pivots: pa.Table) -> pa.Table:
     """Distances of a chunk's documents from their region's pivots, by the pivots' numbers."""
     if not group.num_rows or not pivots.num_rows:
         return pa.table({"region": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "pivot": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "linked": pa.array([], pa.bool_())})
-    elements, first = _sets(_text(group.column("text")))
-    own, begins = _sets(_text(pivots.column("text")))
+    elements, first = _sets(_text(group.column("text")), 1)
+    own, begins = _sets(_text(pivots.column("text")), 1)
     docs, ids = group.column("doc_id").to_numpy(), pivots.column("doc_id").to_numpy()
     n, owner = np.diff(first), np.repeat(np.arange(len(docs)), np.diff(first))
     out = {"doc_id": [], "pivot": [], "distance": [], "linked": []}
@@ -310,11 +345,11 @@ def _blocks(stuck: DataFrame) -> DataFrame:
     return first.select(*cols).groupBy(*key).cogroup(second.select(*cols).groupBy(*key)).applyInArrow(_block_links, "a long, b long")
 
 
-def link_regions(rows: DataFrame, local: int = LOCAL) -> DataFrame:
-    """Links (a, b) that connect just what links within each region connect: rows(region, doc_id, text, n)."""
-    spark = rows.sparkSession
+def link_regions(members: DataFrame, texts: DataFrame, local: int = LOCAL) -> DataFrame:
+    """Links (a, b) that connect just what links within each region connect: members(region, doc_id, n), texts(doc_id, text)."""
+    spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    rows = cut(_sized(rows, local))
+    rows = cut(texts.join(cut(_sized(members, local)), "doc_id"))
     while not (big := rows.filter(F.col("size_") > local)).isEmpty():
         links, smaller, stuck = _dealt_out(big, links, local)
         stuck = _sized(stuck, local)
@@ -326,14 +361,14 @@ def link_regions(rows: DataFrame, local: int = LOCAL) -> DataFrame:
     return links.unionByName(own)
 
 
-def join(docs: DataFrame, local: int = LOCAL) -> DataFrame:
+def join(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFrame:
     """Near-duplicate classes of docs(doc_id, text, ...) by sets of 5-word shingles, A-Z in lower case.
 
     Two documents link when 100 * intersection >= 80 * union. Returns doc_id, n_shingles, component_id (the smallest
     doc_id that links reach). A null text and one without words have the empty set and link with nothing; fewer than
     five words are one shingle; rows repeated in full are copies; rows that share a doc_id are one node; a row without
     doc_id takes no part and has a null component_id; an empty table gives an empty result. local bounds the shingles of
-    a region that one task solves.
+    a region that one task solves, hot the documents of a shingle that meet in one task.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -349,13 +384,13 @@ def join(docs: DataFrame, local: int = LOCAL) -> DataFrame:
     copies = rows.filter("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many_")).filter("many_ > 1").withColumn("salt_", salts).drop("many_")
     rows = rows.withColumn("salt_", salt).join(copies, ["n", "fp1", "fp2", "salt_"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     rows = cut(rows)
-    met = texts.filter("doc_id is not null").mapInArrow(_prefixes(levels), "key long, n int, doc_id long").repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, "a long, b long").distinct()
+    met = meetings(texts.filter("doc_id is not null").mapInArrow(_prefixes(levels, _parts(levels, hot)), "key long, part int, n int, doc_id long"))
     reps = rows.filter("doc_id is not null").select("doc_id", "rep").distinct()
     for side in ("a", "b"):
         met = met.join(reps, F.col(side) == F.col("doc_id")).withColumn(side, F.col("rep")).drop("doc_id", "rep")
     regions = components(met)
-    named = texts.join(regions.withColumnRenamed("node", "doc_id"), "doc_id").join(rows.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id").select(F.col("component").alias("region"), "doc_id", "text", "n")
-    found = components(link_regions(named, local)).withColumnRenamed("node", "rep").withColumn("salt_", salts)
+    members = cut(regions.select(F.col("node").alias("doc_id"), F.col("component").alias("region")).join(rows.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id"))
+    found = components(link_regions(members, texts, local)).withColumnRenamed("node", "rep").withColumn("salt_", salts)
     rows = rows.withColumn("salt_", salt).join(found, ["rep", "salt_"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -9,10 +9,11 @@ from fractions import Fraction
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import chat, graph, htmltext, jaccard, mixing, quality, secrets, sentencepiece, substring, topk, urlfilter
+from matchloom.llm import chat, graph, hashing, htmltext, jaccard, mixing, quality, secrets, sentencepiece, substring, topk, urlfilter
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(60)] + ["the", "of", "and", "The", "é", "naïve,", "x\x1cy", "日本", "#", "**"]
@@ -62,8 +63,8 @@ def test_jaccard_clusters(spark):
                 own[rng.randrange(90)] = f"new{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for local in (jaccard.LOCAL, 1500):
-        assert got(jaccard.join(df, local), "doc_id", "n_shingles", "component_id") == sorted(brute.near_groups(rows), key=repr)
+    for local, hot in ((jaccard.LOCAL, jaccard.HOT), (1500, 1)):
+        assert got(jaccard.join(df, local, hot), "doc_id", "n_shingles", "component_id") == sorted(brute.near_groups(rows), key=repr)
 
 
 def test_jaccard_null_id_and_empty(spark, none):
@@ -352,3 +353,31 @@ def test_unescape(spark):
     texts = ["", "\\", "\\s\\l", "<#\\>", "a:b", html.unescape("&lt;/turn&gt;")]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(chat.unescape(chat.escape(F.col("t"), True))).collect()] == texts
+
+
+def thue_morse(n):
+    """Two texts of 2^n letters that every polynomial hash modulo 2^64 takes for the same."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_words_apart(spark):
+    for n in (5, 10, 12):
+        x, y = thue_morse(n)
+        long = [(1, " ".join([x, *(f"k{i}" for i in range(12))])), (2, " ".join([y, *(f"k{i}" for i in range(12))]))]
+        short = [(1, f"{x} a b c d"), (2, f"{y} a b c d"), (3, f"{x} A b c d")]
+        assert got(substring.dedup(spark.createDataFrame(long, "doc_id long, text string")), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.dedup(long)
+        assert got(jaccard.join(spark.createDataFrame(short, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == brute.near_groups(short)
+    words = ["".join(RNG.choice("ab\x00\x1cé") for _ in range(RNG.randrange(1, 90))) for _ in range(20000)]
+    for lane in (0, 1):
+        own = hashing.hash_words(pa.array(words), lane=lane).hashes
+        assert len(own) == len(words) and len({*own.tolist()}) == len({*words})
+    assert not {*hashing.hash_words(pa.array(words)).hashes.tolist()} & {*own.tolist()}
+
+
+def test_pairs_of_hashes():
+    table, checks = np.array([3, 5, 5, 5, 9]), np.array([1, 7, 4, 6, 2])
+    assert hashing.found_pairs(table, checks, np.array([5, 5, 5, 3, 9, 4, 10]), np.array([6, 7, 8, 1, 1, 1, 1])).tolist() == [3, 1, -1, 0, -1, -1, -1]
+    assert hashing.found_pairs(table[:0], checks[:0], np.array([5]), np.array([6])).tolist() == [-1]
