@@ -7,7 +7,7 @@ the smallest document that has it. Windows are told apart by 96 bits of two hash
 100 TB the odds that any two different ones agree are below one in a thousand.
 
 Documents are dealt into chunks by a hash of their id; the chunks' texts are shuffled once and that exchange is used
-three times. A chunk sends each anchor and window once, whatever the number of its documents that have it, so a passage
+three times. A chunk sends each anchor once and each window once or twice, whatever the number of its documents that have it, so a passage
 of a third of all documents makes no more rows than there are chunks. Shuffled rows are sorted and read as a stream.
 """
 
@@ -35,7 +35,7 @@ CHUNK_BYTES, PACK_BYTES = 12_000_000, 32_000_000
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk in a batch as one compressed row: texts are most of what is shuffled."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
     for whole in batches:
         for batch in by_bytes(whole, "text", PACK_BYTES):
             chunk = batch.column("chunk").to_numpy()
@@ -114,7 +114,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     if not group.num_rows:
-        return pa.table({c: pa.array([], pa.int32() if c in ("check", "chunk") else pa.int64()) for c in ("key", "check", "chunk", "low", "more")})
+        return pa.table({c: pa.array([], pa.int64()) for c in ("key", "own", "doc")})
     docs, texts = _columns(group)
     words = hash_words(texts)
     at, keys = _anchors(words)
@@ -124,24 +124,32 @@ def _send_windows(group: pa.Table, repeated: pa.Table) -> pa.Table:
     np.add.at(near, at + 1, -1)
     start, keys, checks = _windows(texts, np.cumsum(near) > 0)
     keys, low, high, checks = _by_key(keys, docs[words.row[start]], checks)
-    return pa.table({"key": keys, "check": checks, "chunk": pa.array(np.full(len(keys), group.column("chunk")[0].as_py(), np.int32)), "low": low, "more": high - low})
+    own = checks.astype(np.int64) << 32 | group.column("chunk")[0].as_py()
+    more = low != high
+    return pa.table({"key": np.append(keys, keys[more]), "own": np.append(own, own[more]), "doc": np.append(low, high[more])})
 
 
 def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, check and low, those whose chunk has a larger document than the window's smallest, with that one."""
-    last, least = None, None
+    """Of rows sorted by key, check (the upper half of own) and doc, what a chunk has to know: its windows that lose words.
+
+    known is twice the check, and one more if the smallest document is in another chunk, so that no document keeps the
+    window here. A chunk may get the same row twice.
+    """
+    last, least, at_home = None, None, None
     for batch in batches:
-        key, check, chunk, low, more = (batch.column(c).to_numpy() for c in ("key", "check", "chunk", "low", "more"))
+        key, own, doc = (batch.column(c).to_numpy() for c in ("key", "own", "doc"))
         if not len(key):
             continue
+        check, chunk = own >> 32, (own & 0xFFFFFFFF).astype(np.int32)
         at = runs_equal(key, check)
-        first = low[at].copy()
+        first, home = doc[at].copy(), chunk[at].copy()
         if last == (key[0], check[0]):
-            first[0] = least
-        last, least = (key[-1], check[-1]), first[-1]
-        first = np.repeat(first, np.diff(np.append(at, len(key))))
-        rows = low + more > first
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[rows], pa.int32()), "key": pa.array(key[rows], pa.int64()), "check": pa.array(check[rows], pa.int32()), "first": pa.array(first[rows], pa.int64())})
+            first[0], home[0] = least, at_home
+        last, least, at_home = (key[-1], check[-1]), first[-1], home[-1]
+        size = np.diff(np.append(at, len(key)))
+        rows = doc > np.repeat(first, size)
+        known = check * 2 + (chunk != np.repeat(home, size))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[rows], pa.int32()), "key": pa.array(key[rows], pa.int64()), "known": pa.array(known[rows], pa.int64())})
 
 
 def _cut(group: pa.Table, known: pa.Table, with_text: bool) -> pa.Table:
@@ -151,10 +159,14 @@ def _cut(group: pa.Table, known: pa.Table, with_text: bool) -> pa.Table:
     docs, texts = _columns(group)
     words = hash_words(texts)
     start, keys, checks = _windows(texts)
-    key, check, first = (known.column(c).to_numpy() for c in ("key", "check", "first"))
+    key, own = (known.column(c).to_numpy() for c in ("key", "known"))
     order = np.argsort(key)
-    at = found_pairs(key[order], check[order], keys, checks)
-    gone = start[(at >= 0) & (first[order][at] < docs[words.row[start]])] if len(key) else start[:0]
+    key, own = key[order], own[order]
+    at = found_pairs(key, (own >> 1).astype(np.int32), keys, checks)
+    start, at = start[at >= 0], at[at >= 0]
+    doc, least = docs[words.row[start]], np.full(len(key), LAST)
+    np.minimum.at(least, at, doc)
+    gone = start[(own[at] & 1 == 1) | (doc > least[at])]
     edge = np.zeros(len(words.row) + 1, np.int32)
     edge[gone] += 1
     np.add.at(edge, gone + WINDOW, -1)
@@ -190,8 +202,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     dealt = docs.select(F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"), ids.alias("doc_id"), "text").mapInArrow(_pack, "chunk int, rows binary")
     anchors = dealt.groupBy("chunk").applyInArrow(_send_anchors, "key long, chunk int, multi boolean")
     repeated = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "chunk int, key long")
-    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, check int, chunk int, low long, more long")
-    known = windows.repartition("key").sortWithinPartitions("key", "check", "low").mapInArrow(_smallest, "chunk int, key long, check int, first long")
+    windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_send_windows, "key long, own long, doc long")
+    known = windows.repartition("key").sortWithinPartitions("key", F.shiftright("own", 32), "doc").mapInArrow(_smallest, "chunk int, key long, known long")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def last(group: pa.Table, own: pa.Table) -> pa.Table:
