@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import math
 import re
 from collections import Counter, defaultdict
@@ -154,3 +155,79 @@ def mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0):
         left -= sum(target[s] for s in over)
         open_ -= over
     return {s: (sizes[s], target[s]) for s in order}
+
+
+def tree_match(a, b):
+    """(score, pairs) of two trees (label, label without id, number, children) by trying every pair of children."""
+    if a[1] != b[1]:
+        return 0, []
+    x, y = a[3], b[3]
+    best = [[(0, [])] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n, pairs = tree_match(x[i], y[j])
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], (best[i][j][0] + n, best[i][j][1] + pairs), key=lambda z: z[0])
+    n, pairs = best[-1][-1]
+    return n + 1 + (a[0] == b[0]), [(a[2], b[2]), *pairs]
+
+
+def wrapper_text(pages, least=3, same=0.8, still=0.1):
+    """Main texts of [(host, Page)], whose nodes, names and texts are given: template by counting a host's contents."""
+    def tree(page, n=0):
+        label = page.labels[n]
+        return label, label.split("\t#")[0], n, [tree(page, m) for m in range(n + 1, len(page.labels)) if page.parents[m] == n]
+
+    def own(page):
+        texts = defaultdict(list)
+        for n, _, t in page.segments:
+            if t is not None and t.strip() and not page.off[n]:
+                texts[n] += t.split()
+        return {n: " ".join(x) for n, x in texts.items()}
+
+    out = []
+    hosts = defaultdict(list)
+    for h, p in pages:
+        hosts[h].append(p)
+    plans = {}
+    for h, ps in hosts.items():
+        count = Counter(p.skeleton() for p in ps)
+        first = next(p for p in ps if p.skeleton() == min(count, key=lambda s: (-count[s], s.encode())))
+        rows = set()
+        for p in ps:
+            to = dict(tree_match(tree(p), tree(first))[1])
+            rows.add(tuple((to.get(n, -1), t) for n, t in own(p).items()))
+        texts = defaultdict(set)
+        for r in rows:
+            for n, t in r:
+                if n >= 0:
+                    texts[n].add(t)
+        size = {n: sum(map(len, x)) / len(x) * (1 if len(x) >= least else still) for n, x in texts.items()}
+        body = max(size, key=lambda n: (size[n], -n), default=None)
+        contents = defaultdict(set)
+        for r in rows:
+            content = dict(reversed(r)).get(body, r)
+            for n, t in r:
+                if n >= 0:
+                    contents[n].add((content, t))
+        template = {}
+        for n, x in contents.items():
+            times = Counter(t for _, t in x)
+            t, k = times.most_common(1)[0]
+            every = len({c for c, _ in x})
+            if every >= least and k >= same * every:
+                template[n] = t
+        plans[h] = first, template
+    for h, p in pages:
+        first, template = plans[h]
+        to, texts = dict(tree_match(tree(p), tree(first))[1]), own(p)
+        fixed = {n for n in texts if template.get(to.get(n)) == texts[n]}
+        length, linked = Counter(), Counter()
+        for n, link, t in p.segments:
+            if t is not None:
+                length[n] += len(t.strip())
+                linked[n] += link * len(t.strip())
+        nodes = range(len(p.labels))
+        keep = {n for n in nodes if p.main[n] and not p.off[n]}
+        keep = keep - fixed if any(length[n] for n in keep) else {n for n in nodes if not p.off[n] and n not in fixed and linked[n] <= 0.6 * length[n]}
+        out.append(" ".join(html.unescape("".join(" " if t is None else t for n, _, t in p.segments if t is None or n in keep)).split()))
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import random
+import time
 from fractions import Fraction
 
 import brute
@@ -171,6 +172,31 @@ def test_names(spark):
     assert pages_text(spark, pages) == [f"Story {k}" for k in range(5)] + ["Intro 5", "Intro 6"]
 
 
+def test_wrapper_against_counting(spark):
+    """Template of hosts whose class names say nothing, against a plain version: parts that stay, vary or miss."""
+    rng, rows = random.Random(8), []
+    for k in range(120):
+        story = " ".join(rng.choice(VOCABULARY) for _ in range(rng.choice([3, 20, 60]))) if rng.random() < 0.8 else "One story for many pages of this host " * 3
+        parts = ["<div class=q1>Same on all pages</div>" * (rng.random() < 0.9), f"<div class=q2 id=n{rng.choice('ab')}>Day {k % 9}</div>", "<section><p class=q3>Write to us</p></section>", f"<div class=q4><h2>{rng.choice(['A', 'B'])}</h2><p>{story}</p></div>"]
+        body = "".join(parts)
+        rows.append((k, rng.choice(["http://a.org/1", "http://b.org/1", "http://c.org/", None, "no host"]), f"<body>{body}</body>" if k % 4 else f"<body><article>{body}</article>Out {k % 5}</body>"))
+    out = dict(map(tuple, htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect()))
+    host = lambda u: u.split("/")[2] if u and "://" in u else ""
+    assert [out[k] for k, _, _ in rows] == brute.wrapper_text([(host(u), htmltext.Page(h)) for _, u, h in rows])
+    assert sum("Write to us" in t for t in out.values()) < 40
+
+
+def test_html_of_any_shape(spark):
+    """Nesting, unclosed tags, quotes and closing tags in any number take time in proportion."""
+    many = ["<div>" * 5000 + "deep", "<a " * 350_000, "<a \"<b '" * 100_000 + ">", "<div>" * 50_000 + "</p>" * 50_000 + "end", "<script></script " * 60_000, "<!-- " * 200_000, "<" * 500_000, "<p title=\"" + "x<b>" * 100_000]
+    many += ["".join(f"<div class=c{i}><b>t</b></div>" for i in range(8000)), "".join(f"<div id={''.join(chr(97 + int(c)) for c in str(i))}>t</div>" for i in range(8000))]
+    begin = time.monotonic()
+    texts = pages_text(spark, many)
+    assert time.monotonic() - begin < 60
+    assert texts[0] == "deep" and texts[3] == "end" and texts[8] == texts[9] == " ".join(["t"] * 8000) and texts[1] == ("<a " * 350_000).strip()
+    assert [t[3:] for t in htmltext.tags("<p a='>' b>x</P ><br/><!-- <i> --><q")] == [("p", " a='>' b"), ("p", " "), ("br", "/"), ("", "")]
+
+
 def test_align():
     a = htmltext.Page("<body><div><p>x</p></div><ul></ul></body>").skeleton()
     b = htmltext.Page("<body><table></table><div><h2></h2><p>x</p></div></body>").skeleton()
