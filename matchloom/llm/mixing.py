@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import cut, words
 
 BUCKET_HEX = 3  # 4096 buckets a source
 
@@ -44,6 +44,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
     df = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key_"))
     df = df.withColumn("bucket_", F.substring("key_", 1, BUCKET_HEX)).select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s_"))
+    df = cut(df)  # narrow rows: texts are read and cut into words once
     buckets = df.groupBy("s_", "bucket_").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
     buckets = buckets.withColumn("start_", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("s_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sources = buckets.groupBy("s_").agg(F.sum("bucket_size").alias("source_size"), F.first("source").alias("source"))
@@ -68,14 +69,18 @@ def repeat_rows(docs: DataFrame, uncut: bool = False, **how) -> DataFrame:
 
     With uncut such a document is taken whole once more if the rest is half of it or more, else not: no text is cut, and
     a source misses its target by at most half a document.
-    Columns and their order stay; n_chars, if there, follows the text. Rows repeated in full share the larger count.
+    Columns and their order stay; n_chars, if there, follows the text. Rows repeated in full are taken as often as mix()
+    takes all of them together.
     """
-    key = F.struct("doc_id", F.xxhash64("text", "source"))
+    columns = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    key = F.struct("doc_id", F.xxhash64(*columns))
     mixed = mix(docs.select(key.alias("doc_id"), "text", "source"), **how).filter("taken > 0")
-    counts = mixed.groupBy(F.col("doc_id").alias("key_")).agg(F.max("size").alias("size_"), F.max("whole").alias("whole_"), F.max("rest").alias("rest_"))
+    counts = mixed.groupBy(F.col("doc_id").alias("key_")).agg(F.max("size").alias("size_"), F.sum("whole").alias("whole_"), F.sum("rest").alias("rest_"))
+    counts = counts.withColumn("whole_", F.col("whole_") + F.expr("rest_ div size_")).withColumn("rest_", F.col("rest_") % F.col("size_"))
     if uncut:
         counts = counts.withColumn("rest_", F.when(2 * F.col("rest_") >= F.col("size_"), F.col("size_")).otherwise(F.lit(0).cast("long")))
-    df = docs.select(F.struct(*docs.columns).alias("row_"), key.alias("key_")).join(counts, "key_")
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), key.alias("key_")).groupBy("key_").agg(F.first("row_").alias("row_"))  # equal rows are one before they are shuffled
+    df = rows.join(counts, "key_")
     times = F.concat(F.array_repeat("size_", F.col("whole_").cast("int")), F.when(F.col("rest_") > 0, F.array("rest_")).otherwise(F.array().cast("array<bigint>")))
     df = df.select("row_", "size_", F.explode(times).alias("take_"))
     less = F.col("take_") < F.col("size_")
