@@ -75,13 +75,16 @@ def features(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "lang_", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "class_hist", "word_hist")
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two count arrays of equal length; null where one has no counts."""
+def js_distance(p: Column, q: Column, p_sum: Column | None = None, q_sum: Column | None = None) -> Column:
+    """Jensen-Shannon distance, base 2, of two count arrays of equal length; null where one has no counts.
+
+    The sums of the counts should be given as columns where they are known: here they would be added up for each bin.
+    """
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    tp, tq = total(p), total(q)
-    share = F.zip_with(p, q, lambda a, b: F.struct((a / tp).alias("a"), (b / tq).alias("b")))
+    tp, tq = total(p) if p_sum is None else p_sum, total(q) if q_sum is None else q_sum
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    parts = F.transform(share, lambda s: term(s["a"], (s["a"] + s["b"]) / 2) + term(s["b"], (s["a"] + s["b"]) / 2))
+    part = lambda a, b: term(a, (a + b) / 2) + term(b, (a + b) / 2)
+    parts = F.zip_with(p, q, lambda a, b: part(a / tp, b / tq))
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(parts) / 2)))
 
 
@@ -94,8 +97,10 @@ def references(rows: DataFrame, config: QualityConfig) -> tuple[DataFrame, DataF
     sizes = {"class_hist": len(CLASSES) + 1, "word_hist": len(COMMON_WORDS) + 1}
     by = rows.filter(~F.col("base_failed")).groupBy("lang_").agg(F.sum("n_words").alias("n_"), *[c for name, size in sizes.items() for c in sums(name, size)])
     by = by.select("lang_", "n_", *[F.array(*[f"{name}{i}" for i in range(size)]).alias(name) for name, size in sizes.items()])
-    whole = by.agg(*[F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(f"all_{name}") for name, size in sizes.items()])
-    return whole, by.filter((F.col("n_") >= config.min_reference) & F.col("lang_").isNotNull()).select("lang_", *[F.col(name).alias(f"ref_{name}") for name in sizes])
+    whole = by.agg(*[F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name) for name, size in sizes.items()])
+    total = lambda name: F.aggregate(name, F.lit(0.0), lambda s, x: s + x)
+    named = lambda of: [c for name in sizes for c in (F.col(name).alias(f"{of}_{name}"), total(name).alias(f"{of}_{name}_sum"))]
+    return whole.select(*named("all")), by.filter((F.col("n_") >= config.min_reference) & F.col("lang_").isNotNull()).select("lang_", *named("ref"))
 
 
 def judge(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -119,10 +124,11 @@ def judge(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame
         salted = by_lang.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         rows = rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["lang_", "salt_"], "left")
     rows = rows.join(F.broadcast(whole))  # a single row
-    for name, guard in (("class", F.col("word_chars") >= config.min_chars), ("word", F.col("n_words") >= config.min_words)):
-        rows = rows.withColumn(f"{name}_distance", F.when(guard, F.least(*[js_distance(F.col(f"{name}_hist"), F.col(f"{of}_{name}_hist")) for of in ("ref", "all")])))  # nulls do not count
+    for name, n, least in (("class", F.col("word_chars"), config.min_chars), ("word", F.col("n_words"), config.min_words)):
+        distances = [js_distance(F.col(f"{name}_hist"), F.col(f"{of}_{name}_hist"), n, F.col(f"{of}_{name}_hist_sum")) for of in ("ref", "all")]
+        rows = rows.withColumn(f"{name}_distance", F.when(n >= least, F.least(*distances)))  # nulls do not count
     common = lambda c: F.array(F.aggregate(F.slice(c, 1, len(COMMON_WORDS)), F.lit(0.0), lambda s, x: s + x), F.element_at(c, -1))
     own, ref = common(F.col("word_hist")), common(F.coalesce("ref_word_hist", "all_word_hist"))
-    rows = rows.withColumn("share_distance", F.when(F.col("n_words") >= config.min_words, js_distance(own, ref)))
+    rows = rows.withColumn("share_distance", F.when(F.col("n_words") >= config.min_words, js_distance(own, ref, F.col("n_words"), F.coalesce("ref_word_hist_sum", "all_word_hist_sum"))))
     kept = ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= config.max_class) & ((F.coalesce("word_distance", F.lit(0.0)) <= config.max_words) | (F.coalesce("share_distance", F.lit(0.0)) <= config.max_share))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance", "share_distance")
