@@ -36,8 +36,9 @@ _TWO = ", ".join(f"'{x}'" for x in _C.second_level)
 OP2 = rf"""WITH p AS MATERIALIZED (SELECT page_id, {fold("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")} host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 u AS (SELECT p.page_id, arg_max(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) x FROM p JOIN (VALUES {_RULES}) r(rule, h, start, verdict) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY 1),
 l AS (SELECT doc_id, count(*) n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) b FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY 1),
-h0 AS MATERIALIZED (SELECT host, coalesce(sum(n), 0)::DOUBLE n, coalesce(sum(b), 0)::DOUBLE b, string_split(host, '.') t FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY host),
-h1 AS MATERIALIZED (SELECT host, n, b, CASE WHEN array_to_string(t[-2:], '.') IN ({_TWO}) THEN array_to_string(t[-3:], '.') ELSE array_to_string(t[-2:], '.') END dom, CASE WHEN array_to_string(t[-2:], '.') IN ({_TWO}) THEN array_to_string(t[-2:], '.') ELSE t[-1] END suf FROM h0),
+h0 AS MATERIALIZED (SELECT host, coalesce(sum(n), 0)::DOUBLE n, coalesce(sum(b), 0)::DOUBLE b, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY host),
+h1 AS MATERIALIZED (SELECT host, n, b, CASE WHEN ip THEN name WHEN two THEN array_to_string(t[-3:], '.') ELSE array_to_string(t[-2:], '.') END dom, CASE WHEN ip THEN '{urlfilter.ADDRESS}' WHEN two THEN array_to_string(t[-2:], '.') ELSE t[-1] END suf FROM
+(SELECT *, regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$|^\[') ip, coalesce(regexp_full_match(t[-1], '[a-z]{{2}}') AND t[-2] IN ({_TWO}), false) two FROM (SELECT *, string_split(name, '.') t FROM h0))),
 d1 AS MATERIALIZED (SELECT dom, suf, sum(n) n, sum(b) b FROM h1 GROUP BY 1, 2), s1 AS MATERIALIZED (SELECT suf, sum(n) n, sum(b) b FROM d1 GROUP BY 1),
 s2 AS MATERIALIZED (SELECT suf, n, b, (tb - b + 0.5) / (tn - n + 1) prior, tn - n + 1 behind FROM s1, (SELECT sum(n) tn, sum(b) tb FROM s1)), s3 AS MATERIALIZED (SELECT suf, n, b, prior, least(k, behind) k FROM (SELECT *, {_level("s2")} k FROM s2)),
 d2 AS MATERIALIZED (SELECT dom, d1.n, d1.b, (s3.b - d1.b + k * prior) / (s3.n - d1.n + k) prior, s3.n - d1.n + k behind FROM d1 JOIN s3 USING (suf)), d3 AS MATERIALIZED (SELECT dom, n, b, prior, least(k, behind) k FROM (SELECT *, {_level("d2")} k FROM d2)),

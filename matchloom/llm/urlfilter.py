@@ -24,7 +24,8 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 class ReputationConfig:
     """limit: a host is blocked if the posterior rate of bad pages is above it, z standard deviations below the mean.
 
-    second_level holds suffixes of two labels (such as co.uk), under which a registered domain has three labels.
+    second_level holds labels that, before a last label of two letters (a country's), make a suffix of two labels (such as
+    co.uk), under which a registered domain has three; suffixes holds others of two labels.
     least and most bound the fitted strength of a prior, in pages.
     """
 
@@ -32,7 +33,8 @@ class ReputationConfig:
     z: float = 1.645
     least: float = 2.0
     most: float = 1000.0
-    second_level: tuple[str, ...] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
+    second_level: tuple[str, ...] = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "sch")
+    suffixes: tuple[str, ...] = ()
 
 
 def host_of(url: Column) -> Column:
@@ -57,12 +59,21 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return F.array_max(F.array(*fits))
 
 
+#: The suffix of all hosts that are addresses.
+ADDRESS = "#address"
+
+
 def levels(host: Column, config: ReputationConfig) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host."""
-    labels = F.split(host, r"\.")
+    """Registered domain and suffix of a host, whatever user, port or last dot it has; an address is its own domain."""
+    name = F.rtrim(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), F.lit("."))
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    labels = F.split(name, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
-    two = last(2).isin(*config.second_level) if config.second_level else F.lit(False)
-    return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
+    two = last(2).isin(*config.suffixes) if config.suffixes else F.lit(False)
+    if config.second_level:
+        two = two | (last(1).rlike("^[a-z]{2}$") & F.get(labels, F.size(labels) - 2).isin(*config.second_level))
+    two = F.coalesce(two, F.lit(False))
+    return F.when(address, name).when(two, last(3)).otherwise(last(2)), F.when(address, F.lit(ADDRESS)).when(two, last(2)).otherwise(last(1))
 
 
 def strength(rows: DataFrame, n: str, bad: str, prior: str, config: ReputationConfig) -> DataFrame:
