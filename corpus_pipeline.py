@@ -5,21 +5,19 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import jaccard, mixing, quality, secrets, sentencepiece
+from matchloom.llm.common import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows are judged one by one, whatever their doc_id."""
-    key = F.struct("doc_id", F.xxhash64("text", "lang"))
-    kept = quality.judge(docs.select(key.alias("doc_id"), "text", "lang")).filter("kept").select(F.col("doc_id").alias("key_")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row_"), key.alias("key_"))
-    return rows.join(kept, "key_", "left_semi").select("row_.*")
+    """Documents that the quality rules reject go; rows are judged one by one, whatever their doc_id, and move nowhere."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text", "lang")
+    return quality.judge(rows).filter("kept").select("doc_id.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +52,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each returns is written as Parquet to the shared folder and read again.
+
+    What a stage has read is deleted when its own rows are written; those of the last stage stay for the caller.
+    """
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        folder = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            _delete(spark, before)
+        before = folder
     return docs

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.llm import chat, graph, hashing, htmltext, jaccard, mixing, quality, secrets, sentencepiece, substring, topk, urlfilter
+from matchloom.llm import chat, common, graph, hashing, htmltext, jaccard, mixing, quality, secrets, sentencepiece, substring, topk, urlfilter
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{i}" for i in range(60)] + ["the", "of", "and", "The", "é", "naïve,", "x\x1cy", "日本", "#", "**"]
@@ -407,3 +407,36 @@ def test_pairs_of_hashes():
     table, checks = np.array([3, 5, 5, 5, 9]), np.array([1, 7, 4, 6, 2])
     assert hashing.found_pairs(table, checks, np.array([5, 5, 5, 3, 9, 4, 10]), np.array([6, 7, 8, 1, 1, 1, 1])).tolist() == [3, 1, -1, 0, -1, -1, -1]
     assert hashing.found_pairs(table[:0], checks[:0], np.array([5]), np.array([6])).tolist() == [-1]
+
+
+def test_levels(spark):
+    config = urlfilter.ReputationConfig(suffixes=("github.io",))
+    cases = {
+        "a.net:80": ("a.net", "net"), "u:p@b.a.net": ("a.net", "net"), "1.2.3.4": ("1.2.3.4", "#address"), "1.2.3.4:8080": ("1.2.3.4", "#address"), "[::1]:80": ("[::1]", "#address"),
+        "a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.co.jp.": ("x.co.jp", "co.jp"), "me.github.io": ("me.github.io", "github.io"), "com": ("com", "com"), "": ("", ""), "co.uk": ("co.uk", "co.uk"), "a.co.example": ("co.example", "example"),
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *urlfilter.levels(F.col("host"), config)).collect()} == cases
+
+
+def test_repeated_rows_in_the_mix(spark):
+    """Equal rows leave the mix as often as it takes all of them together."""
+    rows = [(1, "a b c d e " * 5, "s", 1)] * 6 + [(1, "a b c d e " * 5, "s", 2), (2, "x y z", "t", 1), (3, "q " * 41, "u", 1), (3, "q " * 41, "u", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    sums = lambda df, c: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(c).alias("n")).collect()}
+    words = F.size(mixing.words(F.col("text")))
+    for how in ({}, {"share": 0.7}, {"share": 1.1, "weights": (1.0, 3.0)}):
+        keyed = docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64(*docs.columns)))
+        taken = {k: n for k, n in sums(mixing.mix(keyed, **how), "taken").items() if n}
+        assert sums(mixing.repeat_rows(docs, **how), words) == taken
+        whole = sums(mixing.repeat_rows(docs, uncut=True, **how), words)
+        assert all(abs(whole.get(k, 0) - n) <= 21 for k, n in taken.items())
+
+
+def test_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Cluster)
