@@ -1,11 +1,13 @@
 """SQL for DuckDB that gives the same rows as the queries that SQL can express.
 
-Extraction from HTML, spans of secrets and pieces of a vocabulary are out of its reach; tests hold those to plain Python.
+Extraction from HTML and pieces of a vocabulary are out of its reach; tests hold those to plain Python and to the library.
 """
 
 from __future__ import annotations
 
-from . import quality, urlfilter
+import re
+
+from . import quality, secrets, urlfilter
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -52,6 +54,31 @@ f AS MATERIALIZED (SELECT x, min(doc_id) m FROM s GROUP BY 1), g AS MATERIALIZED
 k AS (SELECT t.doc_id, string_agg(t.v, ' ' ORDER BY t.i) kept, count(*) n FROM (SELECT doc_id, unnest(w) v, unnest(range(1, len(w) + 1)) i FROM d) t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i WHERE g.i IS NULL GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT n_words, (len(w) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+
+
+def _rule(rank: int, rule: secrets.Rule) -> str:
+    """kind, start, end of a rule's matches: what lies between matches and the matches take turns.
+
+    This engine's expressions fold more letters than A-Z and cannot look behind. Instead of looking behind, one character more is matched, in
+    a text that begins with a space; a scheme's leftmost match begins at the start of its letters anyway.
+    """
+    either = lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")"
+    pattern = re.sub(r"\(\?i:([^)]*)\)", either, rule.pattern)
+    before = re.match(r"\(\?<!\[(.*?)\]\)", pattern)
+    shift = int(before is not None and rule.kind != "url_password")
+    if before:
+        pattern = f"[^{before[1]}]" * shift + pattern[before.end() :]
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' kind, b + g + {shift} - 1 AS a, b + g + n - 1 AS z, o FROM
+(SELECT doc_id, i, length(s[i]) g, length(m[i]) n, length(k[i]) o, coalesce(sum(length(s[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM
+(SELECT doc_id, s, m, k, unnest(range(1, len(m) + 1)) i FROM (SELECT doc_id, string_split_regex(x, {p}) s, regexp_extract_all(x, {p}, 0) m, regexp_extract_all(x, {p}, {rule.group}) k FROM t WHERE regexp_matches(x, {p})))) WHERE o >= {rule.least + (shift if not rule.group else 0)}"""
+
+
+_SPAN = "kind || ':' || a::BIGINT || ':' || z::BIGINT"
+OP5 = f"""WITH t AS MATERIALIZED (SELECT doc_id, ' ' || coalesce(text, '') x FROM documents), f AS MATERIALIZED ({" UNION ALL ".join(_rule(k, r) for k, r in enumerate(secrets.RULES))}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') n_{r.kind}" for r in secrets.BASE)}, string_agg({_SPAN}, ',' ORDER BY a, rank) FILTER (rank < {len(secrets.BASE)}) base, string_agg({_SPAN}, ',' ORDER BY a, rank) spans FROM f GROUP BY 1)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM t LEFT JOIN g USING (doc_id)"""
+
 _LEN = r"length({0}) + length(regexp_replace({0}, '[^\\<#{1}]', '', 'g'))"
 OP6 = rf"""WITH c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 n AS MATERIALIZED (SELECT *, row_number() OVER w i, count(*) OVER (PARTITION BY conv_id) k, 14 + {_LEN.format("role", ":")} + {_LEN.format("text", "")} size FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
@@ -105,5 +132,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT n_dup_lines,
 NOT base_failed AND (word_chars < {_Q.min_chars} OR least({_js('ch', 'rc')}, {_js('ch', 'ac')}) <= {_Q.max_class}) AND (n_words < {_Q.min_words} OR least({_js('wh', 'rw')}, {_js('wh', 'aw')}) <= {_Q.max_words} OR {_js(_share('wh'), _share('coalesce(rw, aw)'))} <= {_Q.max_share}) kept FROM j"""
 
 ORACLES = {
-    "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op6_chat_format": OP6, "op8_source_mix": OP8, "op9_topk": OP9, "op10_quality_rules": OP10,
+    "op1_ngram_jaccard_join": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op6_chat_format": OP6, "op8_source_mix": OP8, "op9_topk": OP9, "op10_quality_rules": OP10,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import random
+import re
 import time
 from fractions import Fraction
 
@@ -242,9 +243,40 @@ def test_secrets(docs, none):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     clean = {r["doc_id"]: r for r in out.collect()}
+    for most in (0, 10):
+        assert got(secrets.scan(docs, most_broadcast=most), "doc_id", "found") == sorted(((r["doc_id"], r["found"]) for r in rows), key=repr)
+        assert got(secrets.redact(docs, most_broadcast=most), *docs.columns) == got(out, *docs.columns)
     assert clean[0]["text"] == texts[0] and clean[0]["n_chars"] == 7 and "AKIA" not in clean[113]["text"] and clean[113]["n_chars"] == len(clean[113]["text"])
 
 
+def test_index_finds_every_match(spark):
+    """Documents that the postings leave out hold no match; spans and marks of very many matches take time in proportion."""
+    words = ["password", "=", "abcdefgh", "token", ":", "AKIA", "ABCDEFGHIJKLMNOP", "ghp_", "A1b2" * 8, "xoxb-", "1" * 20, "eyJ", ".eyJ", "ab.cd", " eyJab.eyJcd.ef ", "http://", "u:p", "@h", " ", "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "AIza", "x" * 40]
+    texts = ["".join(RNG.choice(words) for _ in range(RNG.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full = {k: [] for k in range(len(texts))}
+    for rank, r in enumerate(secrets.RULES):
+        for k, t in enumerate(texts):
+            full[k] += [(m.start(), rank, r.kind, m.end()) for m in re.finditer(r.pattern, t) if len(m[r.group]) >= r.least]
+    found = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in secrets.scan(df).collect()}
+    assert found == {k: sorted(x) for k, x in full.items()}
+    assert {x[2] for v in found.values() for x in v} == {r.kind for r in secrets.RULES}
+
+    def marked(t, spans):
+        out, at = "", 0
+        for a, _, _, b in spans:
+            if a > at or not out:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + t[at:]
+
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean == {k: marked(t, found[k]) if found[k] else t for k, t in enumerate(texts)}
+    begin = time.monotonic()
+    many = spark.createDataFrame([(1, "password=abcdefgh1 é " * 20000), (2, "eyJ" * 40000 + ".eyJ" * 40000)], "doc_id long, text string")
+    assert secrets.redact(many).filter("doc_id = 1").first()["text"] == "[SECRET] é " * 20000 and time.monotonic() - begin < 60
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
     assert secrets.trigram_query("(abc|abd)x?") == [[["abc"], ["abd"]]] and secrets.trigram_query("ab+cde") == [[["cde"]]]

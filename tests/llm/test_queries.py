@@ -1,0 +1,32 @@
+"""Every registered query of the package against its SQL, at the smallest scale."""
+
+import os
+
+import duckdb
+import pytest
+
+from matchloom.llm.oracles import ORACLES
+from matchloom.llm.queries import QUERIES
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data is not here")
+@pytest.mark.parametrize("name", ORACLES)
+def test_query(spark, db, name):
+    df = QUERIES[name](spark, SF)
+    rows = [tuple(r) for r in df.collect()]
+    cursor = db.execute(ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    at = [names.index(c) for c in df.columns]
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r[i] for i in at)) for r in cursor.fetchall())
