@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import argparse
+import os
+import subprocess
 import sys
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.automaton import compile_patterns, human_bytes
 from .operators import measure, results, scan
-from .plans.chunks import equal_chunks
-from .sources import patterns
+from .sources import corpus, patterns
+
+WHOLE, RANGE = 1 << 30, 4 << 20  # bytes of a file that is one row at most, and of a range of a larger one
+
+
+def git_hash() -> str:
+    """The commit of this code, or unknown."""
+    own = subprocess.run(["git", "-C", os.path.dirname(__file__), "rev-parse", "--short", "HEAD"], capture_output=True, text=True, check=False)
+    return own.stdout.strip() or "unknown"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--searcher", help="a strategy; all of them if left out")
     p.add_argument("--threads", type=int, default=0)
     p.add_argument("--tasks-per-thread", type=int, default=0)
+    p.add_argument("--chunk", type=int, default=0, help="read the input in ranges of so many bytes, as files beyond 1 GiB are")
     p.add_argument("--warmup", type=int, default=1)
     p.add_argument("--iters", type=int, default=5)
     p.add_argument("--format", default="text", choices=("text", "csv"))
@@ -32,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0 if it went well, 1 for an unknown strategy or an empty dictionary, 2 for missing arguments."""
+    """0 if it went well, 1 for an unknown strategy, a missing file or an empty dictionary, 2 for missing arguments."""
     args = parser().parse_args(argv)
     if args.list:
         print("\n".join(scan.strategies()))
@@ -44,31 +56,46 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"unknown strategy {args.searcher}", file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("matchloom").getOrCreate()
-    words = patterns.load(patterns.read_lines(spark, args.patterns)).cache()
-    rows = scan.dictionary(words, args.nocase)
+    try:
+        n_bytes = spark.read.format("binaryFile").load(args.input).select("length").first()[0]
+        words = patterns.load(patterns.read_lines(spark, args.patterns)).cache()
+        rows = scan.dictionary(words, args.nocase)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(e.desc if hasattr(e, "desc") else e, file=sys.stderr)
+        return 1
     if not rows:
         print("the dictionary is empty", file=sys.stderr)
         return 1
+    begin = time.monotonic()
     a = compile_patterns([p for _, p in rows])
-    text = spark.read.format("binaryFile").load(args.input).select(F.lit(0).cast("long").alias("doc_id"), F.col("content").alias("body")).cache()
-    n_bytes = text.select(F.octet_length("body")).first()[0]
-    print(f"# patterns:   {len(rows)} (max len {a.max_length}, min len {a.min_length})\n# automaton:  {a.states} states, {human_bytes(a.footprint())}\n# input:      {n_bytes} bytes ({human_bytes(n_bytes)})\n# warmup={args.warmup} iters={args.iters} threads={args.threads}")
+    build_ms = (time.monotonic() - begin) * 1000
     config = scan.ScanConfig(threads=args.threads, tasks_per_thread=args.tasks_per_thread, nocase=args.nocase, spread=True)
+    threads = args.threads or spark.sparkContext.defaultParallelism
+    ranges = args.chunk or (RANGE if n_bytes > WHOLE else 0)  # a value of one row holds 2 GB at most
+    if ranges:
+        parts = corpus.read_ranges(spark, args.input, ranges)
+    else:
+        text = spark.read.format("binaryFile").load(args.input).select(F.lit(0).cast("long").alias("doc_id"), F.col("content").alias("body")).cache()
+    # The form of these lines is fixed: logs are read by it.
+    print(f"# matchloom\n# git:        {git_hash()}\n# patterns:   {len(rows)} (max len {a.max_length}, min len {a.min_length}){' [nocase]' * args.nocase}\n# automaton:  {a.states} states, {human_bytes(a.footprint())}")
+    print(f"# input:      {n_bytes} bytes ({n_bytes / measure.MIB:.2f} MiB) via {'byte ranges' if ranges else 'read'}\n# build time: {build_ms:.3f} ms\n# warmup={args.warmup} iters={args.iters} threads={threads} tasks_per_thread={args.tasks_per_thread or 4}")
+    print(measure.CSV_HEAD if args.format == "csv" else "\n" + measure.HEAD)
     for name in [args.searcher] if args.searcher else scan.strategies():
-        once = lambda name=name: scan.strategy(name)(text, ["doc_id"], rows, config)
+        if ranges:
+            once = lambda: scan.match_corpus(parts, words, "part", "body", ranges, args.nocase)
+        else:
+            once = lambda name=name: scan.strategy(name)(text, ["doc_id"], rows, config)
         seconds = measure.run(once, args.warmup, args.iters)
         found = once()
-        threads = args.threads or spark.sparkContext.defaultParallelism
         stats = measure.statistics(measure.samples(spark, name, threads, n_bytes, found.count(), threads, seconds))
-        if args.format == "csv":
-            for row in stats.select("searcher", "threads_req", "bytes", "matches", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "cv_pct", "mbps_mean", "iters", "iter_ms").collect():
-                print(",".join(map(str, row)))
-        else:
-            print(measure.text_lines(stats).first()[0])
-        if args.per_thread:
-            sized = equal_chunks(text.select("doc_id", F.lit(n_bytes).cast("long").alias("n_bytes")), "n_bytes", threads, a.halo).select("doc_id", "n_bytes").distinct()
-            for row in measure.worker_metrics(sized, found, threads, a.halo).orderBy("worker_id").collect():
-                print(f"  [t{row['worker_id']:02d}] {row['bytes_scanned']} bytes {row['matches_found']} matches")
+        print((measure.csv_lines(stats, git_hash()) if args.format == "csv" else measure.text_lines(stats)).first()[0])
+        if args.per_thread and args.format != "csv" and not ranges:
+            kind = "dynamic" if name.startswith("pthread_dynamic") else "sharded" if name == "pattern_sharded_prefix" else "chunked"
+            workers = measure.worker_run(text, rows, 1 if name.startswith("sequential") else threads, kind, args.tasks_per_thread or 4, args.nocase)
+            for row in measure.worker_lines(workers.orderBy("worker_id")).collect():
+                print(row[0])
         if args.print_matches:
             for row in results.rendered(found, words).orderBy("end_pos", "pattern_id").toLocalIterator():
                 print(row["line"])

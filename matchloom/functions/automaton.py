@@ -28,7 +28,12 @@ class Automaton:
 
     @property
     def states(self) -> int:
-        return len(self.step)
+        return len(self.first)
+
+    @property
+    def width(self) -> int:
+        """Columns of the table: classes of bytes."""
+        return int(self.classes.max()) + 1
 
     @property
     def max_length(self) -> int:
@@ -50,11 +55,16 @@ class Automaton:
         own names the latter as they are in the other tables.
         """
         order = np.argsort(self.count > 0, kind="stable")
-        place = np.empty(len(order), np.intp)
+        place = np.empty(len(order), np.int32 if self.step.size < 2**31 else np.int64)
         place[order] = np.arange(len(order)) * self.step.shape[1]
         plain = int((self.count == 0).sum())
         return place[self.step[order]].ravel(), plain * self.step.shape[1], order[plain:].astype(np.int32)
 
+    def __getstate__(self) -> dict:
+        """What a scan needs: the table as lanes have it, of which a worker holds one copy, without the other."""
+        self.lanes  # noqa: B018
+        return self.__dict__ | {"step": None}
+
     def footprint(self, pattern_record: int = 16) -> int:
         """Bytes of the dense form with 256 columns of four bytes, as the formula of the reference figures has them."""
         return self.states * 1024 + 16 * self.states + 8 * self.own_outputs + 4 * len(self.pids) + int(self.lengths.sum()) + len(self.lengths) * pattern_record

@@ -28,7 +28,7 @@ def scan_buffer(a: Automaton, data: np.ndarray, lanes: int = LANES) -> tuple[np.
     view = np.lib.stride_tricks.as_strided(buffer, (lanes, size + halo), (size * buffer.itemsize, buffer.itemsize))
     columns = np.ascontiguousarray(view.T)
     step, least, own = a.lanes
-    state, index, hit = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp), np.zeros(lanes, bool)
+    state, index, hit = np.zeros(lanes, step.dtype), np.zeros(lanes, np.intp), np.zeros(lanes, bool)
     base = np.arange(lanes, dtype=np.int64) * size
     found = np.zeros(size * lanes, np.int32)  # the state at each place that has outputs; 0 never has
     for t in range(size + halo):
@@ -38,7 +38,7 @@ def scan_buffer(a: Automaton, data: np.ndarray, lanes: int = LANES) -> tuple[np.
             np.greater_equal(state, least, out=hit)
             at = np.flatnonzero(hit)
             if len(at):
-                found[base[at] + (t - halo)] = own[(state[at] - least) // a.step.shape[1]]
+                found[base[at] + (t - halo)] = own[(state[at] - least) // a.width]
     ends = np.flatnonzero(found[:n])
     return ends, found[ends].astype(np.int64)
 

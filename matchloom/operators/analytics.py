@@ -43,7 +43,7 @@ def v_build(runs: DataFrame) -> DataFrame:
     """Build times of phase E against the sequential build, which is a row itself."""
     e = runs.filter("phase = 'E_build_par'")
     base = e.filter("tag = 'buildseq'").select("patterns", F.col("build_ms").alias("seq_"))
-    return e.join(base, "patterns").select("patterns", F.coalesce("build_threads", F.lit(1).cast("bigint")).alias("build_threads"), F.round("build_ms", 3).alias("build_ms"), F.round("seq_", 3).alias("seq_build_ms"), F.round(div("seq_", "build_ms"), 3).alias("build_speedup"))
+    return e.join(base, "patterns").select("patterns", F.coalesce("build_threads", F.lit(1).cast("bigint")).alias("build_threads"), F.round("build_ms", 2).alias("build_ms"), F.round("seq_", 2).alias("seq_build_ms"), F.round(div("seq_", "build_ms"), 3).alias("build_speedup"))
 
 
 def v_correctness(runs: DataFrame) -> DataFrame:
@@ -87,6 +87,29 @@ def register_views(runs: DataFrame, workers: DataFrame) -> None:
     v_worker_balance(workers).createOrReplaceTempView("v_worker_balance")
 
 
+#: Questions that runs are asked as a rule, over the views' names (fixed values: names, filters and columns).
+CANONICAL = {
+    "canonical_correctness": "SELECT * FROM v_correctness",
+    "canonical_curve": "SELECT thr, speedup_vs_seq, mbps FROM v_speedup WHERE patterns = '{patterns}' AND corpus = '{corpus}' AND searcher = '{searcher}' ORDER BY thr",
+    "canonical_best": "SELECT * FROM v_best WHERE patterns = '{patterns}' AND corpus = '{corpus}' ORDER BY thr",
+    "canonical_footprint": "SELECT patterns, searcher, thr, automaton_mib, mbps FROM v_footprint ORDER BY automaton_mib, searcher, thr",
+    "canonical_build": "SELECT patterns, build_threads, build_ms, seq_build_ms, build_speedup FROM v_build ORDER BY patterns, build_threads",
+    "canonical_balance": "SELECT phase, searcher, thr, tag, workers, min_worker_ms, max_worker_ms, spread_pct, imbalance_ratio FROM v_worker_balance ORDER BY phase, searcher, tag",
+    "canonical_workers": "SELECT worker_id, milliseconds, bytes_scanned, matches_found, mbps FROM worker_metrics WHERE phase = 'D_per_thread' AND searcher = '{searcher}' ORDER BY worker_id",
+}
+
+
+def canonical(runs: DataFrame, workers: DataFrame, name: str, **names: str) -> DataFrame:
+    """One of the canonical questions over runs and worker_metrics, whose views are registered; names fill in its filters."""
+    register_views(runs, workers)
+    return runs.sparkSession.sql(CANONICAL[name].format(**names))
+
+
+def verdict(parity_ok: bool, divergent: int, worst_cv: float, most_cv: float = 0.05) -> str:
+    """What a comparison of runs is worth: "invalid" if corpora or matches differ, "noisy" if workers spread too much, else "valid"."""
+    return "invalid" if not parity_ok or divergent else "noisy" if worst_cv > most_cv else "valid"
+
+
 def concat_runs(frames: dict[str, DataFrame]) -> DataFrame | None:
     """All runs under each other with run_id; columns that some lack are null there, empty frames are left out."""
     rows = [df.withColumn("run_id", F.lit(k)) for k, df in frames.items() if not df.isEmpty()]
@@ -110,7 +133,7 @@ def filtered(df: DataFrame, wanted: dict[str, list], exclude: tuple[str, ...] =
 def derived(df: DataFrame) -> DataFrame:
     """df with efficiency, automaton_mib, tasks_per_thread, replicate and core_class, where their inputs are there."""
     if {"speedup_vs_seq", "thr", "searcher"} <= {*df.columns}:
-        own = F.when(F.col("thr") > 0, F.col("speedup_vs_seq") / F.col("thr")).when(F.col("searcher").isin(*SEQUENTIAL), 1.0).otherwise(0.0)
+        own = F.when(F.col("thr") > 0, F.col("speedup_vs_seq") / F.col("thr")).when(F.col("searcher") == "sequential", 1.0).otherwise(0.0)
         df = df.withColumn("efficiency", own)
     if "automaton_kib" in df.columns:
         df = df.withColumn("automaton_mib", F.col("automaton_kib") / 1024.0)
@@ -131,10 +154,15 @@ def replicate_summary(df: DataFrame, by: list[str], value: str, prefix: str = ""
     return rows.withColumn(n("iqr_pct"), div(n("iqr"), n("median")) * 100).withColumn(n("range_pct"), div(F.col(n("max")) - F.col(n("min")), n("median")) * 100)
 
 
-def speedup_from_median(summary: DataFrame, prefix: str = "") -> DataFrame:
-    """A replicate summary with speed-ups over its sequential rows at one thread, per run, dictionary and corpus."""
+def speedup_from_median(summary: DataFrame, prefix: str = "", baseline: DataFrame | None = None) -> DataFrame:
+    """A replicate summary with speed-ups over the sequential rows at one thread, per run, dictionary and corpus.
+
+    These are rows of baseline, another summary, where it is given. Without any the summary stays as it is.
+    """
     keys = [c for c in ("run_id", *CORNERS) if c in summary.columns]
-    base = summary.filter("searcher = 'sequential' and thr = 1").select(*[F.col(k).alias(f"{k}_b") for k in keys], F.col(f"{prefix}median").alias("base_"))
+    base = (summary if baseline is None else baseline).filter("searcher = 'sequential' and thr = 1").select(*[F.col(k).alias(f"{k}_b") for k in keys], F.col(f"{prefix}median").alias("base_"))
+    if base.isEmpty():
+        return summary
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in keys])
     rows = summary.join(base, on, "left").drop(*[f"{k}_b" for k in keys])
     for c in ("median", "q1", "q3"):

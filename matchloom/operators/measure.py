@@ -5,11 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kernel import scan_texts
 from ..plans.chunks import equal_chunks
 from .analytics import div
+from .scan import _shards, shared
 
 MIB = 1 << 20
 
@@ -63,20 +67,85 @@ def worker_metrics(texts: DataFrame, matches: DataFrame, parts: int, halo: int,
     return plan.join(own, (F.col(key) == F.col("k_")) & (F.col("chunk") == F.col("c_")), "left").select(key, F.col("chunk").alias("worker_id"), scanned.alias("bytes_scanned"), F.coalesce("m_", F.lit(0)).cast("long").alias("matches_found"))
 
 
+def _cpu() -> int:
+    """The core that runs this process, or -1 where the system does not say."""
+    try:
+        with open("/proc/self/stat") as f:
+            return int(f.read().rpartition(")")[2].split()[36])
+    except (OSError, ValueError, IndexError):
+        return -1
+
+
+def worker_run(texts: DataFrame, rows: list[tuple[int, bytes]], threads: int, kind: str = "chunked", tasks_per_thread: int = 4, nocase: bool = False) -> DataFrame:
+    """worker_id, seconds, milliseconds, bytes_scanned, matches_found, mbps, cpu of a scan of texts(body), measured in its tasks.
+
+    chunked: a chunk is a worker, and its halo counts as scanned. dynamic: a partition is a worker, and counts the size
+    of a task for each it took. sharded: a shard of the dictionary is a worker, and scans the whole text. cpu is the core
+    at the end, -1 if unknown.
+    """
+    spark = texts.sparkSession
+    parts = threads * tasks_per_thread if kind == "dynamic" else threads
+    own = _shards(rows, max(1, min(threads, len(rows)))) if kind == "sharded" else {0: rows}
+    automata = {k: shared(spark, r) for k, r in own.items()}
+    halo = max(a.value.halo for a in automata.values())
+    sized = texts.select("body", F.octet_length("body").cast("long").alias("n_bytes"))
+    if kind == "sharded":
+        pieces = sized.withColumn("chunk", F.explode(F.lit(sorted(own)).cast("array<bigint>"))).select("chunk", "body", F.lit(0).cast("long").alias("skip"), F.col("n_bytes").alias("size"))
+    else:
+        plan = equal_chunks(sized, "n_bytes", parts, halo)
+        piece = F.expr("substring(body, cast(scan_start + 1 as int), cast(core_end - scan_start as int))")
+        pieces = plan.select("chunk", piece.alias("body"), (F.col("core_start") - F.col("scan_start")).alias("skip"), F.expr(f"(n_bytes + {parts - 1}) div {parts}").alias("size"))
+
+    def run(batches):
+        number = TaskContext.get().partitionId()
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                chunk, skip = batch.column("chunk")[k].as_py(), batch.column("skip")[k].as_py()
+                begin, n = time.monotonic(), 0
+                for _, end, _ in scan_texts(automata[chunk if kind == "sharded" else 0].value, batch.column("body").slice(k, 1), nocase):
+                    n += int((end >= skip).sum())
+                seconds = time.monotonic() - begin
+                scanned = batch.column("size")[k].as_py() if kind == "dynamic" else len(batch.column("body")[k].as_py())
+                out.append((number if kind == "dynamic" else chunk, seconds, scanned, n, _cpu()))
+            cols = list(zip(*out)) or [[]] * 5
+            kinds = (("worker_id", pa.int64()), ("seconds", pa.float64()), ("bytes_scanned", pa.int64()), ("matches_found", pa.int64()), ("cpu", pa.int64()))
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, t), x in zip(kinds, cols)})
+
+    ran = pieces.repartition(threads).mapInArrow(run, "worker_id long, seconds double, bytes_scanned long, matches_found long, cpu long")
+    done = ran.groupBy("worker_id").agg(F.sum("seconds").alias("seconds"), F.sum("bytes_scanned").alias("bytes_scanned"), F.sum("matches_found").alias("matches_found"), F.max("cpu").alias("cpu"))
+    return done.select("worker_id", "seconds", (F.col("seconds") * 1000).alias("milliseconds"), "bytes_scanned", "matches_found", div(F.col("bytes_scanned").cast("double"), F.col("seconds") * MIB).alias("mbps"), "cpu")
+
+
+#: Lines of results and their heads (fixed values: the logs' format).
+HEAD = "%-22s %4s %12s %14s %14s %14s %12s %10s %14s %8s %10s %6s" % ("searcher", "thr", "bytes", "min(ms)", "mean(ms)", "max(ms)", "MB/s", "matches", "median(ms)", "cv%", "Gbps", "wrk")
+LINE = "%-22s %4d %12d %14.3f %14.3f %14.3f %12.2f %10d %14.3f %8.2f %10.4f %6d"
+CSV_HEAD = "git_hash,searcher,threads_req,effective_workers,bytes,matches,min_ms,mean_ms,median_ms,max_ms,stdev_ms,cv_pct,mbps_mean,mbps_median,gbps_mean,ns_per_byte,iters,iter_ms"
+CSV_LINE = "%s,%s,%d,%d,%d,%d,%.6f,%.6f,%.6f,%.6f,%.6f,%.4f,%.4f,%.4f,%.6f,%.6f,%d,%s"
+WORKER_LINE = "    [t%02d] %.3f ms  %d bytes  %d matches  %.2f MB/s  cpu=%d"
+
+
 def text_lines(stats: DataFrame) -> DataFrame:
-    """Result lines with the frozen first eight columns and the four later ones."""
-    return stats.select(F.format_string("%-28s %6d %14d %12.3f %12.3f %12.3f %12.2f %12d %12.3f %8.2f %8.4f %6d", "searcher", "threads_req", "bytes", "min_ms", "mean_ms", "max_ms", "mbps_mean", "matches", "median_ms", "cv_pct", "gbps_mean", "effective_workers").alias("line"))
+    """A result line for each row of stats, with the frozen first eight columns and the four later ones, and two more lines behind it."""
+    first = F.format_string(LINE, "searcher", "threads_req", "bytes", "min_ms", "mean_ms", "max_ms", "mbps_mean", "matches", "median_ms", "cv_pct", "gbps_mean", "effective_workers")
+    times = F.concat(F.lit("#   iter_ms: "), F.translate("iter_ms", ";", " "))
+    more = F.format_string("#   workers=%d  median_MB/s=%.2f  ns/byte=%.4f  stdev_ms=%.3f", "effective_workers", "mbps_median", "ns_per_byte", "stdev_ms")
+    return stats.select(F.concat_ws("\n", first, times, more).alias("line"))
+
+
+def csv_lines(stats: DataFrame, git_hash: str = "unknown") -> DataFrame:
+    """A line of eighteen columns for each row of stats, under CSV_HEAD."""
+    return stats.select(F.format_string(CSV_LINE, F.lit(git_hash), *CSV_HEAD.split(",")[1:]).alias("line"))
 
 
 def worker_lines(workers: DataFrame) -> DataFrame:
     """[tNN] lines of worker_id, milliseconds, bytes_scanned, matches_found, mbps, cpu."""
-    return workers.select(F.format_string("[t%02d] %.3f ms %d bytes %d matches %.2f MB/s cpu=%d", "worker_id", "milliseconds", "bytes_scanned", "matches_found", "mbps", F.coalesce("cpu", F.lit(-1))).alias("line"))
+    return workers.select(F.format_string(WORKER_LINE, "worker_id", "milliseconds", "bytes_scanned", "matches_found", "mbps", F.coalesce("cpu", F.lit(-1))).alias("line"))
 
 
-def write_csv(stats: DataFrame, path: str, git_hash: str = "") -> None:
+def write_csv(stats: DataFrame, path: str, git_hash: str = "unknown") -> None:
     """The eighteen columns of the CSV form, in their order."""
-    names = ["git_hash", "searcher", "threads_req", "effective_workers", "bytes", "matches", "min_ms", "mean_ms", "median_ms", "max_ms", "stdev_ms", "cv_pct", "mbps_mean", "mbps_median", "gbps_mean", "ns_per_byte", "iters", "iter_ms"]
-    stats.withColumn("git_hash", F.lit(git_hash)).select(*names).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    stats.withColumn("git_hash", F.lit(git_hash)).select(*CSV_HEAD.split(",")).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,16 +72,48 @@ def join_files(files: DataFrame) -> DataFrame:
     return files.withColumn("part", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1).select("part", "body")
 
 
-def wiki_text(pages: DataFrame, least: int = 20) -> DataFrame:
-    """path, block_no, text of pages(path, value): what stands in <text> elements, without tags and references.
+_TEXT = re.compile("<text[^>]*>(.*)", re.S)
+
+
+def text_blocks(dump: str) -> list[str]:
+    """What stands in <text> elements of a dump, read line by line, the lines of a block joined by a space.
 
-    Lines of a block are joined by a space, tags and references become spaces, three line feeds or more become two, and
-    blocks of least characters or fewer go.
+    A line with an opening tag begins a block, or goes on with one that is open; only a line without one can end it, at its
+    last closing tag. So an element on one line goes on to the next line that ends one.
     """
-    blocks = F.regexp_extract_all("value", F.lit(r"(?s)<text[^>]*>(.*?)</text>"), F.lit(1))
-    rows = pages.select("path", F.posexplode(blocks).alias("block_no", "text"))
-    text = F.regexp_replace("text", r"\r?\n", " ")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    text = F.regexp_replace(text, r"&[A-Za-z0-9#]+;", " ")
-    text = F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    return rows.withColumn("text", text).filter(F.length("text") > least)
+    blocks, own, inside = [], [], False
+    for line in re.split("\r\n|\r|\n", dump):
+        if "<text " in line or line.strip() == "<text>":
+            inside = True
+            own += _TEXT.findall(line)[:1]
+        elif "</text>" in line:
+            blocks.append(" ".join([*own, line.rpartition("</text>")[0]]))
+            own, inside = [], False
+        elif inside:
+            own.append(line.rstrip())
+    return blocks
+
+
+def clean(block: str) -> str:
+    """A block without tags and references, which become spaces; three line feeds or more become two."""
+    block = re.sub("<[^>]+>", " ", block)
+    block = re.sub("&[a-zA-Z]+;|&#[0-9]+;", " ", block)
+    return re.sub("\n{3,}", "\n\n", block).strip()
+
+
+def read_wiki(spark: SparkSession, path: str) -> DataFrame:
+    """path, value: a dump of any size, cut after each </page>, so that tasks share it; wiki_text() takes the parts."""
+    return spark.read.option("lineSep", "</page>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def wiki_text(pages: DataFrame, least: int = 20) -> DataFrame:
+    """path, block_no, text of pages(path, value): the text blocks of each value, cleaned; those of least characters or fewer go."""
+
+    def run(batches):
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist()):
+                own = [clean(x) for x in text_blocks(value or "")]
+                keep = [k for k, x in enumerate(own) if len(x) > least]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(keep), pa.string()), "block_no": pa.array(keep, pa.int32()), "text": pa.array([own[k] for k in keep], pa.string())})
+
+    return pages.select("path", "value").mapInArrow(run, "path string, block_no int, text string")

@@ -25,6 +25,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_lines, "path string, line_no long, line binary")
 
 
+def read_rules(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, line_no, line of rule files, one after the other in the order given; line_no goes on from file to file.
+
+    Bytes that are not UTF-8 become U+FFFD; CR, LF and both end a line. Each file is read by one task.
+    """
+    known = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k)])
+
+    def run(batches):
+        for batch in batches:
+            for place, body in zip(batch.column("place").to_pylist(), batch.column("content").to_pylist()):
+                own = re.split("\r\n|\r|\n", (body or b"").decode("utf-8", "replace"))
+                own = own[:-1] if own[-1] == "" else own
+                yield pa.RecordBatch.from_pydict({"place": pa.array([place] * len(own), pa.int32()), "line_no": pa.array(range(1, len(own) + 1), pa.int64()), "line": pa.array(own, pa.string())})
+
+    files = spark.read.format("binaryFile").load(list(paths)).select(known[F.element_at(F.split("path", "/"), -1)].alias("place"), "content")
+    lines = files.mapInArrow(run, "place int, line_no long, line string")
+    return lines.select(F.get(F.array(*[F.lit(p) for p in paths]), F.col("place")).alias("file"), (F.col("place").cast("long") * (1 << 40) + F.col("line_no")).alias("line_no"), "line")
+
+
 def head(lines: DataFrame, n: int) -> DataFrame:
     """The first n lines, comments and blank ones included."""
     return lines.filter(F.col("line_no") <= n)
@@ -62,7 +81,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-_CONTENT = re.compile(r"""content\s*:\s*(!?)\s*(?:"([^"]*)"|'([^']*)')""")
+#: A content option, in letters of either case; a backslash keeps the quote after it from ending the value (fixed values: the rules' format).
+_CONTENT = re.compile(r"""content\s*:\s*(!?)\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", re.I)
+_NOCASE = re.compile(r"\bnocase\b", re.I)
 _HEX_PAIR = re.compile(r"[0-9A-Fa-f]{2}")
 
 
@@ -94,7 +115,7 @@ def literals_of(line: str, nocase: bool = False, least: int = 4, most: int = 0)
     body, out = line[begin + 1 : end], []
     for m in _CONTENT.finditer(body):
         raw = literal(m[2] if m[2] is not None else m[3] or "")
-        own = nocase or re.search(r"\bnocase\b", body[m.end() : m.end() + 60]) is not None
+        own = nocase or _NOCASE.search(body, m.end(), m.end() + 60) is not None
         short = len(raw) < least
         raw = raw[:most] if most else raw
         out.append((raw.lower() if own else raw, own, bool(m[1]), short))
@@ -124,11 +145,18 @@ def rule_dictionary(found: DataFrame, drop_negated: bool = False, unique: bool =
     return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")) - 1).cast("int").alias("pattern_id"), "pattern", F.octet_length("pattern").cast("int").alias("length"))
 
 
-def rule_stats(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: rules (lines that are neither blank nor comments), extracted, short, duplicates."""
-    rules = lines.filter(F.trim("line").rlike("^[^#]")).agg(F.count("*").alias("rules"))
-    kept = found.filter(~F.col("short"))
-    return rules.join(found.agg(F.count_if(~F.col("short")).alias("extracted"), F.count_if("short").alias("short"))).join(kept.agg((F.count("*") - F.count_distinct("pattern")).alias("duplicates")))
+def rule_stats(lines: DataFrame, found: DataFrame, drop_negated: bool = False, unique: bool = True) -> DataFrame:
+    """One row: rules, extracted, short, duplicates, dropped.
+
+    rules are lines that are neither blank nor comments, indented or not; extracted are the patterns of the dictionary,
+    duplicates those that it has already. dropped are literals that are too short; short counts those that are too short
+    only after they are cut, which none is, so it is 0 as it always was.
+    """
+    rules = lines.filter(F.col("line").rlike(r"^\s*[^#\s]")).agg(F.count("*").alias("rules"))
+    own = found.filter(~F.col("negated")) if drop_negated else found
+    n, kinds = F.count_if(~F.col("short")), F.count_distinct(F.when(~F.col("short"), F.col("pattern")))
+    kept = kinds if unique else n
+    return rules.join(own.agg(kept.alias("extracted"), F.lit(0).cast("long").alias("short"), (n - kept).alias("duplicates"), F.count_if("short").alias("dropped")))
 
 
 def to_lines(patterns: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import warnings
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of runs by type (fixed values: the tables' format).
 TEXTS = ("phase", "patterns", "corpus", "searcher", "threads_label", "tag", "log_file")
 INTS = ("automaton_states", "bytes", "iters", "matches", "pattern_count", "thr", "warmup", "wrk")
 REALS = ("automaton_kib", "build_ms", "cv_pct", "gbps", "max_ms", "mbps", "mean_ms", "median_ms", "min_ms")
@@ -121,16 +127,45 @@ def write_csv(runs: DataFrame, path: str) -> None:
 
 
 def save(runs: DataFrame, workers: DataFrame, path: str) -> None:
-    """Both tables under path, replaced as a whole."""
-    runs.write.mode("overwrite").parquet(f"{path}/runs")
-    workers.write.mode("overwrite").parquet(f"{path}/worker_metrics")
+    """Both tables under path. They are written beside it first and take its place together when both are whole."""
+    spark = runs.sparkSession
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    runs.write.parquet(f"{new}/runs")
+    workers.write.parquet(f"{new}/worker_metrics")
+    made, place = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, path))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(place, True)
+    if not files.rename(made, place):
+        raise OSError(f"{new} cannot be renamed to {path}")
 
 
 def load_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A saved table; an empty one of the given schema where there is none."""
+    """A saved table; where there is none a warning and an empty one of the given schema."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(f"{path}/{name}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"there is no table {name} in {path}", stacklevel=2)
         return spark.createDataFrame([], schema)
+
+
+def resolve_log(csv_path: str, log_file: str | None) -> str | None:
+    """The log that a CSV row names: as it is, with ~ read, or else beside the CSV; None if it is in neither place."""
+    if not log_file:
+        return None
+    own = os.path.expanduser(log_file)
+    return next((p for p in (own, os.path.join(os.path.dirname(csv_path), log_file)) if os.path.exists(p)), None)
+
+
+def discover(root: str, name: str = "runs", labels: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """(run_id, path, label) of the saved runs root/*/name: those with a given label first, in that order, then by run_id.
+
+    The others' label is their run_id with spaces for underscores.
+    """
+    labels = labels or {}
+    order = {run: k for k, run in enumerate(labels)}
+    found = [(p.parent.name, str(p)) for p in Path(root).glob(f"*/{name}")]
+    return [(run, path, labels.get(run, run.replace("_", " "))) for run, path in sorted(found, key=lambda x: (order.get(x[0], len(order)), x[0]))]

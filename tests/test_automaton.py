@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -18,21 +20,29 @@ def found(patterns, texts):
 
 
 CASES = {
-    "classic": ([b"he", b"she", b"his", b"hers"], b"ushers say she is hers and his", (8, 10, 5, 10528)),
-    "overlap": ([b"abc", b"bca", b"cab", b"abcabc", b"bcabca"], b"xxabcabcabcxxbcabcabcabcyy", (23, 16, 11, 16825)),
-    "boundary": ([b"NEEDLE_IN_THE_HAYSTACK_PATTERN", b"the", b"in"], b"xxNEEDLE_IN_THE_HAYSTACK_PATTERNyy in the haystack " * 50, (150, 36, 3, 37559)),
-    "dense_a": ([b"a", b"aa", b"aaa", b"aaaa"], b"a" * 1000, (3994, 5, 10, 5346)),
-    "dict_chain": ([b"a", b"ba", b"cba", b"dcba", b"edcba"], b"xxedcbaxx" * 200, (1000, 16, 15, 16835)),
+    "nested": ([b"ox", b"fox", b"boxer", b"xe"], b"a fox and a boxer, foxes in boxes", (10, 13, 7)),
+    "turning": ([b"xyx", b"yxy", b"xyxyx", b"y"], b"xyxyxyxyzyxyx" * 3, None),
+    "far": ([b"A_PATTERN_OF_MANY_LETTERS", b"of", b"F"], b"..A_PATTERN_OF_MANY_LETTERS of F.." * 40, None),
+    "runs": ([b"z", b"zz", b"zzz"], b"z" * 700, (2097, 4, 6)),
+    "tails": ([b"s", b"ts", b"sts", b"ests"], b"tests rests " * 150, None),
 }
 
 
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
-    patterns, text, (matches, states, flat, footprint) = CASES[name]
+    patterns, text, figures = CASES[name]
     a = compile_patterns(patterns)
-    assert (a.states, len(a.pids), a.footprint()) == (states, flat, footprint)
     own = found(patterns, [text])
-    assert len(own) == matches and own == brute(patterns, [text])
+    prefixes = {p[:k] for p in patterns for k in range(len(p) + 1)}
+    outputs = sum(x.endswith(p) for x in prefixes for p in patterns)
+    assert own == brute(patterns, [text]) and (a.states, len(a.pids)) == (len(prefixes), outputs) and (figures is None or (len(own), a.states, len(a.pids)) == figures)
+    assert a.footprint() == 1040 * a.states + 8 * len(patterns) + 4 * outputs + sum(map(len, patterns)) + 16 * len(patterns)
+    back = pickle.loads(pickle.dumps(a))  # what a worker gets scans alike
+    assert back.step is None and scan_all(back, text) == scan_all(a, text)
+
+
+def scan_all(a, text):
+    return [tuple(x.tolist() for x in part) for part in scan_texts(a, pa.array([text], pa.binary()))]
 
 
 @settings(max_examples=60, deadline=None)
