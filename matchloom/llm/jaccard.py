@@ -10,7 +10,7 @@ partner be there, also to others; a region whose documents are all known to be c
 Shingles are compared by hashes: one function finds what may link, another, with nothing in common, measures it. A false
 link would need both to collide.
 
-A region within `local` shingles is solved in one task; a larger one is dealt out: each round measures the distances to
+A region within `local` shingles and a thousandth as many documents is solved in one task; a larger one is dealt out: each round measures the distances to
 a few pivots in chunks, and regions that no longer shrink are joined block by block. Copies are one document throughout.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,7 +37,8 @@ LEVEL_BITS = 12
 SLICE_BYTES = 4_000_000
 PIVOTS = 16  # of a round over a region that is dealt out
 SALT = 16
-LOCAL = 60_000  # shingles
+LOCAL = 1_000_000  # shingles
+FEW_MEMBERS = 200_000  # rows of 48 bytes that are broadcast
 HOT = 2000  # documents with a shingle from which on its group is met in parts
 CHUNK_BYTES = 8_000_000
 SLACK = 1e-9
@@ -327,18 +328,31 @@ def _dealt_out(big: DataFrame, links: DataFrame, local: int) -> tuple[DataFrame,
     return links, rows.filter("not stuck").drop("stuck"), rows.filter("stuck").drop("stuck")
 
 
+def most_docs(local: int) -> int:
+    """Documents of a region that one task solves: their pairs count, however short they are."""
+    return max(8, local // 1000)
+
+
+def _big(local: int) -> Column:
+    return (F.col("size_") > local) | (F.col("docs") > most_docs(local))
+
+
 def _sized(rows: DataFrame, local: int) -> DataFrame:
     """rows(region, doc_id, text, n) with docs and chunks, of its region."""
-    by = rows.groupBy("region").agg(F.count("*").alias("docs"), F.ceil(F.sum("n") / F.lit(max(1, local // 4))).alias("chunks"), F.sum("n").alias("size_"))
+    chunks = F.ceil(F.greatest(F.sum("n") / F.lit(max(1, local // 4)), F.count("*") / F.lit(max(1, most_docs(local) // 4))))
+    by = rows.groupBy("region").agg(F.count("*").alias("docs"), chunks.alias("chunks"), F.sum("n").alias("size_"))
     salted = by.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return rows.withColumn("salt_", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["region", "salt_"]).drop("salt_")
 
 
-def _blocks(stuck: DataFrame) -> DataFrame:
-    """Links within regions that pivots do not divide: every block of a region against itself and every later one."""
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks"))
-    rows = stuck.withColumn("block_", block)
-    first = rows.withColumn("other_", F.explode(F.sequence(F.col("block_"), F.col("chunks") - 1)))
+def _blocks(stuck: DataFrame, local: int) -> DataFrame:
+    """Links within regions that pivots do not divide: every block of a region against itself and every later one.
+
+    A block is as large as a region of one task may be, as each is sent as often as there are blocks.
+    """
+    rows = stuck.withColumn("blocks_", F.ceil(F.greatest(F.col("size_") / local, F.col("docs") / most_docs(local))))
+    rows = rows.withColumn("block_", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks_")))
+    first = rows.withColumn("other_", F.explode(F.sequence(F.col("block_"), F.col("blocks_") - 1)))
     second = rows.withColumnRenamed("block_", "other_").withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_"))))
     key = ["region", "block_", "other_"]
     cols = [F.col(c).alias(c) for c in (*key, "doc_id", "text")]
@@ -349,12 +363,13 @@ def link_regions(members: DataFrame, texts: DataFrame, local: int = LOCAL) -> Da
     """Links (a, b) that connect just what links within each region connect: members(region, doc_id, n), texts(doc_id, text)."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    rows = cut(texts.join(cut(_sized(members, local)), "doc_id"))
-    while not (big := rows.filter(F.col("size_") > local)).isEmpty():
+    sized = cut(_sized(members, local))
+    rows = cut(texts.join(F.broadcast(sized) if members.count() <= FEW_MEMBERS else sized, "doc_id"))
+    while not (big := rows.filter(_big(local))).isEmpty():
         links, smaller, stuck = _dealt_out(big, links, local)
         stuck = _sized(stuck, local)
-        links = cut(links.unionByName(_blocks(stuck)))
-        rows = cut(rows.filter(F.col("size_") <= local).unionByName(_sized(smaller, local)))
+        links = cut(links.unionByName(_blocks(stuck, local)))
+        rows = cut(rows.filter(~_big(local)).unionByName(_sized(smaller, local)))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64("region"), F.lit(parts_for(spark, n_bytes, CHUNK_BYTES))).cast("int")
     own = rows.select(bucket.alias("bucket"), "region", "doc_id", "text").groupBy("bucket").applyInArrow(_solve, "a long, b long")
