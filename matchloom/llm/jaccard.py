@@ -37,7 +37,7 @@ LEVEL_BITS = 12
 SLICE_BYTES = 4_000_000
 PIVOTS = 16  # of a round over a region that is dealt out
 SALT = 16
-LOCAL = 1_000_000  # shingles
+LOCAL = 8_000_000  # shingles
 FEW_MEMBERS = 200_000  # rows of 48 bytes that are broadcast
 HOT = 2000  # documents with a shingle from which on its group is met in parts
 CHUNK_BYTES = 8_000_000
@@ -321,8 +321,12 @@ def _dealt_out(big: DataFrame, links: DataFrame, local: int) -> tuple[DataFrame,
     cells = cells.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("region", "pivot", "doc_id", (F.col("distance") <= F.col("near_")).alias("home_"), F.coalesce("component", "doc_id").alias("label_"))
     cells = cut(cells)
     open_ = cells.groupBy("region", "pivot").agg(F.count("*").alias("now_"), F.max("home_").alias("home_"), F.min("label_").alias("low_"), F.max("label_").alias("high_")).filter("home_ and low_ <> high_")
-    open_ = open_.join(big.select("region", "docs").distinct(), "region").select("region", "pivot", (F.col("now_") > 0.8 * F.col("docs")).alias("stuck"))
-    cells = cells.join(open_, ["region", "pivot"]).select(F.col("region").alias("was_"), F.xxhash64("region", "pivot").alias("region"), "doc_id", "stuck")
+    # A region whose cells together are much larger than itself is not divided by its pivots: it stays one.
+    whole = open_.groupBy("region").agg(F.sum("now_").alias("all_"), F.max("now_").alias("most_")).join(big.select("region", "docs").distinct(), "region")
+    whole = whole.select("region", ((F.col("most_") > 0.8 * F.col("docs")) | (F.col("all_") > 3 * F.col("docs"))).alias("stuck"))
+    cells = cells.join(open_.select("region", "pivot"), ["region", "pivot"]).join(whole, "region")
+    own = F.when(F.col("stuck"), F.col("region")).otherwise(F.xxhash64("region", "pivot"))
+    cells = cells.select(F.col("region").alias("was_"), own.alias("region"), "doc_id", "stuck").distinct()
     rows = cells.join(big.select(F.col("region").alias("was_"), "doc_id", "text", "n"), ["was_", "doc_id"]).drop("was_")
     rows = cut(rows)
     return links, rows.filter("not stuck").drop("stuck"), rows.filter("stuck").drop("stuck")
