@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files, and the checkpoints if it may, that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do puts off while disks fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(spark: SparkSession, n_bytes: int, target: int) -> int:
     """A number of hash buckets so that none holds much more than target bytes of an input of n_bytes."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // target))

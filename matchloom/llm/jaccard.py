@@ -2,8 +2,9 @@
 
 Jaccard distance is a metric, but almost all documents are at distance 1 from any pivot document: their windows would
 reach every region. So the outermost pivots are sets of one shingle. A document is placed under its rarest shingles, as
-many as a partner within the radius cannot avoid all of (the window of that level); documents that meet under a pivot
-and have compatible sizes are joined into regions, and a document that meets nobody has no partner. Inside a region the
+many as a partner within the radius must share some of (the window of that level); documents that meet under as many
+pivots as partners of their sizes must are joined into regions, and a document that meets nobody has no partner. One
+common shingle says nothing of long documents: the more of them there are, the more meet by chance. Inside a region the
 pivots are documents: every document goes to the region of its nearest pivot and, if the triangle inequality lets a
 partner be there, also to others; a region whose documents are all known to be connected is done; the rest recurses.
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, parts_for
+from .common import cut, parts_for, release
 from .graph import components
 from .hashing import by_bytes, found_in, hash_sets, hash_words, mix, runs_equal
 
@@ -40,6 +41,7 @@ SALT = 16
 LOCAL = 8_000_000  # shingles
 FEW_MEMBERS = 200_000  # rows of 48 bytes that are broadcast
 HOT = 2000  # documents with a shingle from which on its group is met in parts
+PAIRED = 16  # documents with a shingle up to which each two of them are counted as meeting, beyond which all are joined
 CHUNK_BYTES = 8_000_000
 SLACK = 1e-9
 
@@ -105,6 +107,11 @@ def _parts(levels: np.ndarray, hot: int) -> np.ndarray:
     return np.ceil(count / max(hot, 8 * float(count[levels].mean()))).astype(np.int64)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """How many shingles a set of n shares with a partner, itself not smaller, within the prefixes of both."""
+    return np.where(n > 0, 1 + n // 100, 0)
+
+
 def _prefixes(levels: np.ndarray, parts: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # of copies within a task only the first is sent
@@ -121,8 +128,8 @@ def _prefixes(levels: np.ndarray, parts: np.ndarray):
                 keys = (level << np.uint64(63 - LEVEL_BITS)) | (elements & np.uint64(2 ** (63 - LEVEL_BITS) - 1))
                 for a, b in zip(first[:-1], first[1:]):
                     keys[a:b].sort()
-                # An overlap of least NUM/DEN * n elements leaves no room for a partner that misses all of these.
-                most = n - -(-NUM * n // DEN) + 1
+                # After the k-th that is shared at most the rest of an overlap of NUM/DEN * n elements or more can follow.
+                most = n - -(-NUM * n // DEN) + least_shared(n)
                 size = np.where(new, np.minimum(most, n), 0)
                 rows = np.repeat(np.arange(len(n)), size)
                 at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1], size)
@@ -136,45 +143,78 @@ def _prefixes(levels: np.ndarray, parts: np.ndarray):
     return emit
 
 
-WHOLE = -1  # the part of a shingle that is met at once
-_MET = "a long, b long, key long, n int"
+WHOLE, HEADS = -1, -2  # the part of a shingle that is met at once, and that of the rows by which parts meet
+_MET = "a long, b long, need int, times long, key long, n int"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, part, n and doc_id of rows sorted by key and part, in pieces that end where a group ends."""
+    names, rest = ("key", "part", "n", "doc_id"), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in names]
+        rows = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
+        last = runs_equal(rows[0], rows[1])[-1]
+        if last:
+            yield tuple(x[:last] for x in rows)
+        rest = [x[last:] for x in rows]
+    if rest is not None:
+        yield tuple(rest)
+
+
+def _counted(pairs: list[np.ndarray], need: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (a, b, need, times) of pairs that may repeat."""
+    pairs, need = np.concatenate(pairs), np.concatenate(need)
+    order = np.lexsort((need, pairs[:, 1], pairs[:, 0]))
+    pairs, need = pairs[order], need[order]
+    at = runs_equal(pairs[:, 0], pairs[:, 1])
+    none = lambda kind: pa.nulls(len(at), kind)
+    return pa.RecordBatch.from_pydict({"a": pa.array(pairs[at, 0], pa.int64()), "b": pa.array(pairs[at, 1], pa.int64()), "need": pa.array(need[at], pa.int32()), "times": pa.array(np.diff(np.append(at, len(need))), pa.int64()), "key": none(pa.int64()), "n": none(pa.int32())})
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, part and n: an edge (a, b) from the first document to every other that meets it.
+    """Of rows sorted by key, part and n: pairs (a, b) of documents that meet, how often, and how often partners would.
 
-    Where the next size is too large for the one before, a new group begins. A group of a part also gives a row
-    (key, n, a) for each size that it has, by which the parts' groups meet. Holds back the group's first document.
+    Where the next size is too large for the one before, a new group begins. In a group of up to PAIRED every two
+    documents are a pair; in a larger one or one of a part all are joined to the first, which needs no further meeting. A
+    group of a part also gives a row (key, n, a) for each size that it has, by which the parts' groups meet.
     """
-    last, n0, head = None, 0, 0
-    for batch in batches:
-        key, part, n, doc = (batch.column(c).to_numpy() for c in ("key", "part", "n", "doc_id"))
-        if not len(key):
-            continue
-        other = np.zeros(len(key), bool)
-        other[runs_equal(key, part)] = True
-        other[0] = last != (key[0], part[0])
-        before = np.append(n0, n[:-1]).astype(np.int64)
-        begin = other | (DEN * before < NUM * n.astype(np.int64))
-        sizes = (begin | (before != n)) & (part != WHOLE)
+    for key, part, n, doc in _groups(batches):
+        n = n.astype(np.int64)
+        begin = np.zeros(len(key), bool)
+        begin[runs_equal(key, part)] = True
+        before = np.append(0, n[:-1])
+        begin |= DEN * before < NUM * n
+        sizes = (begin | (before != n)) & (part >= 0)
         at = np.flatnonzero(begin)
-        heads = np.repeat(np.append([head], doc[at]), np.diff(np.concatenate([[0], at, [len(key)]])))
-        last, n0, head = (key[-1], part[-1]), n[-1], heads[-1]
-        apart = heads != doc
-        pairs = np.unique(np.stack([heads[apart], doc[apart]], 1), axis=0)
-        none = lambda k, kind: pa.nulls(k, kind)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "key": none(len(pairs), pa.int64()), "n": none(len(pairs), pa.int32())})
+        many = np.diff(np.append(at, len(key)))
+        heads, group = np.repeat(doc[at], many), np.repeat(np.arange(len(at)), many)
+        joined = np.repeat(many, many) > PAIRED
+        joined |= part != WHOLE
+        apart = joined & (heads != doc)
+        pairs, need = [np.stack([heads[apart], doc[apart]], 1)], [np.zeros(apart.sum(), np.int64)]
+        for step in range(1, min(PAIRED, int(many.max()))):
+            i = np.flatnonzero((group[:-step] == group[step:]) & ~joined[:-step])
+            i = i[(DEN * n[i] >= NUM * n[i + step]) & (doc[i] != doc[i + step])]
+            pairs.append(np.stack([doc[i], doc[i + step]], 1))
+            need.append(least_shared(n[i]))
+        yield _counted(pairs, need)
         if sizes.any():
-            yield pa.RecordBatch.from_pydict({"a": pa.array(heads[sizes], pa.int64()), "b": none(sizes.sum(), pa.int64()), "key": pa.array(key[sizes], pa.int64()), "n": pa.array(n[sizes], pa.int32())})
+            none = lambda kind: pa.nulls(int(sizes.sum()), kind)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(heads[sizes], pa.int64()), "b": none(pa.int64()), "need": none(pa.int32()), "times": none(pa.int64()), "key": pa.array(key[sizes], pa.int64()), "n": pa.array(n[sizes], pa.int32())})
 
 
 def meetings(prefixes: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect documents which meet under a shingle and have sizes that may link: prefixes(key, part, n, doc_id).
+    """Edges (a, b) that connect documents which meet as often as partners must: prefixes(key, part, n, doc_id).
 
     The documents of a common shingle are dealt out; what comes of their parts is a row for each size, and those meet.
     """
-    met = cut(prefixes.repartition("key", "part").sortWithinPartitions("key", "part", "n", "doc_id").mapInArrow(_meet, _MET))
-    heads = met.filter("key is not null").select("key", F.lit(WHOLE).alias("part"), "n", F.col("a").alias("doc_id"))
+    met = prefixes.repartition("key", "part").sortWithinPartitions("key", "part", "n", "doc_id").mapInArrow(_meet, _MET)
+    met = met.groupBy("a", "b", "key", "n").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
+    met = cut(met.filter("key is not null or times >= need").select("a", "b", "key", "n"))
+    release(met.sparkSession)
+    heads = met.filter("key is not null").select("key", F.lit(HEADS).alias("part"), "n", F.col("a").alias("doc_id"))
     heads = heads.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_meet, _MET)
     return met.filter("key is null").select("a", "b").unionByName(heads.select("a", "b")).distinct()
 
@@ -374,6 +414,8 @@ def link_regions(members: DataFrame, texts: DataFrame, local: int = LOCAL) -> Da
         stuck = _sized(stuck, local)
         links = cut(links.unionByName(_blocks(stuck, local)))
         rows = cut(rows.filter(~_big(local)).unionByName(_sized(smaller, local)))
+        del big, smaller, stuck
+        release(spark)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket = F.pmod(F.xxhash64("region"), F.lit(parts_for(spark, n_bytes, CHUNK_BYTES))).cast("int")
     own = rows.select(bucket.alias("bucket"), "region", "doc_id", "text").groupBy("bucket").applyInArrow(_solve, "a long, b long")
@@ -409,7 +451,10 @@ def join(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFrame:
         met = met.join(reps, F.col(side) == F.col("doc_id")).withColumn(side, F.col("rep")).drop("doc_id", "rep")
     regions = components(met)
     members = cut(regions.select(F.col("node").alias("doc_id"), F.col("component").alias("region")).join(rows.filter("doc_id = rep").select("doc_id", "n").distinct(), "doc_id"))
+    del met, regions
+    release(spark)
     found = components(link_regions(members, texts, local)).withColumnRenamed("node", "rep").withColumn("salt_", salts)
+    release(spark)
     rows = rows.withColumn("salt_", salt).join(found, ["rep", "salt_"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 

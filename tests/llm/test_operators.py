@@ -69,6 +69,27 @@ def test_jaccard_clusters(spark):
         assert got(jaccard.join(df, local, hot), "doc_id", "n_shingles", "component_id") == sorted(brute.near_groups(rows), key=repr)
 
 
+def test_jaccard_chance_meetings(spark, monkeypatch):
+    """Long documents that share one passage with each other are sent to no region; links at the threshold are all found."""
+    passage = {(i, j): [f"p{i}x{j}w{k}" for k in range(24)] for i in range(26) for j in range(i)}
+    texts = [[w for j in range(26) if j != i for w in passage[max(i, j), min(i, j)]] for i in range(26)]
+    base = [f"b{k}" for k in range(660)]
+    for k in range(20):  # more than are counted two by two
+        texts.append([f"c{k}e{x}" if x in (7 * k, 300 + k) else w for x, w in enumerate(base)])
+    for c in (60, 66, 72):
+        own = [f"d{c}w{k}" for k in range(604)]
+        texts += [own, own[:-c] + [f"d{c}n{k}" for k in range(c)]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    seen, real = [], jaccard.link_regions
+    monkeypatch.setattr(jaccard, "link_regions", lambda members, *a: seen.append({r["doc_id"] for r in members.collect()}) or real(members, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (jaccard.HOT, 1):
+        found = got(jaccard.join(df, hot=hot), "doc_id", "n_shingles", "component_id")
+        assert found == sorted(brute.near_groups(rows), key=repr)
+        assert [c for _, _, c in sorted(found)[26:]] == [26] * 20 + [46, 46, 48, 48, 50, 51]
+    assert {*range(26, 50)} <= seen[0] and not seen[0] & {*range(26)}
+
+
 def test_jaccard_null_id_and_empty(spark, none):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert got(jaccard.join(df), "doc_id", "component_id") == [(1, 1), (None, None)]
