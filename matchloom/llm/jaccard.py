@@ -445,6 +445,7 @@ def join(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFrame:
     copies = rows.filter("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many_")).filter("many_ > 1").withColumn("salt_", salts).drop("many_")
     rows = rows.withColumn("salt_", salt).join(copies, ["n", "fp1", "fp2", "salt_"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     rows = cut(rows)
+    del seen, copies
     met = meetings(texts.filter("doc_id is not null").mapInArrow(_prefixes(levels, _parts(levels, hot)), "key long, part int, n int, doc_id long"))
     reps = rows.filter("doc_id is not null").select("doc_id", "rep").distinct()
     for side in ("a", "b"):
@@ -460,9 +461,10 @@ def join(docs: DataFrame, local: int = LOCAL, hot: int = HOT) -> DataFrame:
 
 
 FEW = 100_000  # ids, 16 bytes each, that are broadcast
+FEW_MARKED = 1_000_000  # ids of rows that do not simply stay, which are broadcast so that no row moves that does
 
 
-def keep_first(docs: DataFrame, local: int = LOCAL) -> DataFrame:
+def keep_first(docs: DataFrame, local: int = LOCAL, few: int = FEW_MARKED) -> DataFrame:
     """The row of each near-duplicate class with the smallest doc_id; documents without words or doc_id all stay.
 
     Rows are told apart by doc_id and text: rows that share a doc_id are compared by their texts as any others are, and
@@ -484,5 +486,13 @@ def keep_first(docs: DataFrame, local: int = LOCAL) -> DataFrame:
         rows = rows.select("row_", F.col("id_").alias("node_"))
         kept = join(docs, local).filter("doc_id = component_id").select(F.col("doc_id").alias("node_")).distinct()
     order = F.xxhash64(*[F.col("row_")[c] for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()])
-    first = rows.join(kept, "node_", "left_semi").groupBy("node_").agg(F.min_by("row_", order).alias("row_")).select("row_.*")
+    every = rows.groupBy("node_").agg(F.count("*").alias("rows_")).join(kept.withColumn("kept_", F.lit(True)), "node_", "left")
+    marked = cut(every.filter("kept_ is null or rows_ > 1").select("node_", "kept_"))
+    release(docs.sparkSession)
+    stay, again = None, kept
+    if marked.count() <= few:
+        stay = rows.join(F.broadcast(marked), "node_", "left_anti").select("row_.*")
+        again = F.broadcast(marked.filter("kept_").select("node_"))
+    first = rows.join(again, "node_", "left_semi").groupBy("node_").agg(F.min_by("row_", order).alias("row_")).select("row_.*")
+    first = first if stay is None else first.unionByName(stay)
     return first.unionByName(docs.filter(id_.isNull()))

@@ -1,12 +1,13 @@
 """The pipeline against the operators' plain versions, stage by stage, and from end to end."""
 
 import os
+import random
 
 import brute
 import pytest
 
 import corpus_pipeline
-from matchloom.llm import quality, sentencepiece
+from matchloom.llm import common, jaccard, quality, sentencepiece
 from matchloom.llm.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -68,5 +69,27 @@ def test_duplicates_by_text(spark):
     assert sorted((r[:2] for r in outs[0]), key=repr) == sorted([(1, a), (1, b), (3, c), (5, None), (5, ""), (None, c), (-6, e)], key=repr)
 
 
+def test_duplicates_move_no_row_that_stays(spark):
+    """Either way of leaving rows out gives the same rows; where few are left out the others' texts are not shuffled."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=6000)) for _ in range(6)) for _ in range(200)]
+    rows = [(i, x, i % 3) for i, x in enumerate(texts)] + [(900 + i, texts[i], 1) for i in range(5)] + [(7, texts[7], 5), (901, texts[1], 4), (None, texts[3], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(3)
+    docs = common.cut(docs)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    outs, moved = [], []
+    for few in (jaccard.FEW_MARKED, 0):
+        before = written()
+        outs.append(sorted(map(tuple, jaccard.keep_first(docs, few=few).collect()), key=repr))
+        moved.append(written() - before)
+    assert outs[0] == outs[1] and len(outs[0]) == 201
+    size = sum(map(len, texts))
+    assert moved[0] < 0.2 * size and moved[1] > 0.5 * size
+
+
 def test_names():
     assert [f"op{n}" for n in range(1, 11)] == [k.split("_")[0] for k in QUERIES] and 4 <= len(corpus_pipeline.STAGES) <= 5
