@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -63,7 +62,6 @@ SLICE_BYTES = 4_000_000
 LEAST_PAGES, SAME = 3, 0.8  # of template: contents of a host that have the node, share of the most frequent text
 STILL = 0.1  # what the length of a node counts whose text hardly varies on its host
 MAX_CACHE = 20_000
-MOST_PAIRS = 1_000_000  # of nodes of two skeletons; beyond, nodes match only if their ids are equal too
 
 
 def tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -252,68 +250,140 @@ def _tree(skeleton: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
+class _Shapes:
+    """Lists of children, numbered: equal numbers are equal lists of labels and of what is below them; 0 is the empty one."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {(): 0}
+        self.labels: dict[str, int] = {}
+        self.lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [tuple(np.zeros((3, 0), np.int64))]  # labels, labels without ids, shapes
+        self.sizes = [0]  # nodes below
+
+    def of(self, labels: list[str], children: list[list[int]]) -> list[int]:
+        """The shape of each node's children."""
+        number = lambda x: self.labels.setdefault(x, len(self.labels))
+        out = [0] * len(labels)
+        for n in range(len(labels) - 1, -1, -1):  # children come after their parent
+            if children[n]:
+                full, base = [number("+" + labels[c]) for c in children[n]], [number("-" + labels[c].partition(ID)[0]) for c in children[n]]
+                own = [out[c] for c in children[n]]
+                key = tuple(zip(full, own))
+                if key not in self.known:
+                    self.known[key] = len(self.lists)
+                    self.lists.append((np.array(full), np.array(base), np.array(own)))
+                    self.sizes.append(sum(1 + self.sizes[x] for x in own))
+                out[n] = self.known[key]
+        return out
+
+
+def _ends(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[int, int]:
+    """How many children two lists share at their beginning, and after it at their end.
+
+    Siblings have different labels, so nothing is worth as much to such a child as the one that equals it.
+    """
+    n = min(len(x[0]), len(y[0]))
+    same = (x[0][:n] == y[0][:n]) & (x[2][:n] == y[2][:n])
+    head = n if same.all() else int(same.argmin())
+    n -= head
+    if not n:
+        return head, 0
+    same = (x[0][-n:] == y[0][-n:])[::-1] & (x[2][-n:] == y[2][-n:])[::-1]
+    return head, n if same.all() else int(same.argmin())
+
+
+def _chain(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], worth: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The best chain of pairs of like children in which both places grow: (total, pairs); of equal ones that with the first places.
+
+    worth has what two different shapes add. Rows of totals are kept at some places and made again in between.
+    """
+    rows, width = len(x[0]), len(y[0])
+    every = max(1, int(rows**0.5))
+
+    def values(i: int) -> np.ndarray:
+        like = x[1][i] == y[1]
+        value = np.where(like, 1 + (x[0][i] == y[0]), 0)
+        if x[2][i]:
+            for shape in np.unique(y[2][like & (y[2] > 0)]).tolist():
+                value[like & (y[2] == shape)] += worth[int(x[2][i]), shape]
+        return value
+
+    def after(total: np.ndarray, i: int) -> np.ndarray:
+        value, out = values(i), total.copy()
+        np.maximum(out[1:], np.where(value > 0, total[:-1] + value, 0), out=out[1:])
+        return np.maximum.accumulate(out)
+
+    kept, total = {}, np.zeros(width + 1, np.int64)
+    for i in range(rows):
+        if i % every == 0:
+            kept[i] = total
+        total = after(total, i)
+    best, pairs, i, j = int(total[-1]), [], rows, width
+    block: list[np.ndarray] = []
+    begin = rows
+    while i and j:
+        if i <= begin:
+            stop, begin = i, (i - 1) // every * every
+            block = [kept[begin]]
+            for k in range(begin, stop):
+                block.append(after(block[-1], k))
+        row = block[i - begin]
+        if not row[j]:
+            break
+        j = int(np.searchsorted(row[: j + 1], row[j], "left"))  # the first place with this total
+        if block[i - 1 - begin][j] == row[j]:
+            i -= 1  # it was reached before
+            continue
+        pairs.append((i - 1, j - 1))
+        i, j = i - 1, j - 1
+    return best, pairs
+
+
 @lru_cache(MAX_CACHE)
 def align(page: str, wrapper: str) -> tuple[int, ...]:
     """For each node of the page's skeleton the node of the wrapper's that simple tree matching gives it, or -1.
 
-    Nodes match if their labels are equal but for ids; children keep their order, and as many nodes as possible are
-    matched, where those with equal ids count twice.
+    Nodes match if their labels are equal but for ids, whatever the sizes; children keep their order, and as many nodes as
+    possible are matched, where those with equal ids count twice. Lists of children that are equal are matched once.
     """
     (fa, ca), (fb, cb) = _tree(page), _tree(wrapper)
-    la, lb = (fa, fb) if len(fa) * len(fb) > MOST_PAIRS else ([x.partition(ID)[0] for x in labels] for labels in (fa, fb))
+    shapes = _Shapes()
+    sa, sb = shapes.of(fa, ca), shapes.of(fb, cb)
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def inner(a: int, b: int) -> list[tuple[int, int]]:
-        """Pairs of places of like children of two nodes."""
-        places: dict[str, list[int]] = {}
-        for j, v in enumerate(cb[b]):
-            places.setdefault(lb[v], []).append(j)
-        return [(i, j) for i, u in enumerate(ca[a]) for j in places.get(la[u], ())]
-
-    todo = [(0, 0, False)] if la[0] == lb[0] else []
-    while todo:  # pairs of nodes whose labels match, children first
+    worth: dict[tuple[int, int], int] = {}
+    out = [-1] * len(fa)
+    if fa[0].partition(ID)[0] != fb[0].partition(ID)[0]:
+        return tuple(out)
+    todo = [(sa[0], sb[0], False)]
+    while todo:  # pairs of lists whose parents may match, what is below first
         a, b, ready = todo.pop()
-        if (a, b) in known:
+        if (a, b) in worth:
             continue
-        x, y, like = ca[a], cb[b], inner(a, b)
+        if a == b or not a or not b:
+            worth[a, b] = 2 * shapes.sizes[a] if a == b else 0
+            continue
+        x, y = shapes.lists[a], shapes.lists[b]
+        head, tail = _ends(x, y)
+        x, y = (tuple(z[head : len(z) - tail] for z in w) for w in (x, y))
         if not ready:
             todo.append((a, b, True))
-            todo += [(x[i], y[j], False) for i, j in like]
+            for base in np.intersect1d(x[1], y[1]).tolist():
+                below = np.unique(y[2][y[1] == base]).tolist()
+                todo += [(u, v, False) for u in np.unique(x[2][x[1] == base]).tolist() for v in below]
             continue
-        # The best chain of pairs in which both places grow; the best total up to each place of b is kept by bisection.
-        ends: list[int] = []
-        totals: list[int] = []
-        chains: list[object] = []
-        at = 0
-        while at < len(like):
-            stop = at
-            while stop < len(like) and like[stop][0] == like[at][0]:
-                stop += 1
-            new = []
-            for i, j in like[at:stop]:
-                k = bisect_left(ends, j)
-                before, chain = (totals[k - 1], chains[k - 1]) if k else (0, None)
-                new.append((j, before + known[x[i], y[j]][0], (x[i], y[j], chain)))
-            for j, total, chain in new:
-                k = bisect_left(ends, j)
-                if (k and totals[k - 1] >= total) or (k < len(ends) and ends[k] == j and totals[k] >= total):
-                    continue
-                stop_ = k
-                while stop_ < len(ends) and totals[stop_] <= total:
-                    stop_ += 1
-                ends[k:stop_], totals[k:stop_], chains[k:stop_] = [j], [total], [chain]
-            at = stop
-        pairs, chain = [], chains[-1] if chains else None
-        while chain is not None:
-            pairs.append(chain[:2])
-            chain = chain[2]
-        known[a, b] = (totals[-1] if totals else 0) + 1 + (fa[a] == fb[b]), pairs
-    out = [-1] * len(la)
-    todo = [(0, 0)] if la[0] == lb[0] else []
+        total, pairs = _chain(x, y, worth)
+        ends = [*range(head), *range(head + len(x[0]), head + len(x[0]) + tail)]
+        step = len(y[0]) - len(x[0])
+        own = shapes.lists[a][2]
+        worth[a, b] = total + sum(2 + 2 * shapes.sizes[own[i]] for i in ends)
+        known[a, b] = worth[a, b], [(i, i if i < head else i + step) for i in ends] + [(i + head, j + head) for i, j in pairs]
+    todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
-        todo += known[a, b][1]
+        if sa[a] == sb[b]:
+            todo += zip(ca[a], cb[b])
+        elif sa[a] and sb[b]:
+            todo += [(ca[a][i], cb[b][j]) for i, j in known[sa[a], sb[b]][1]]
     return tuple(out)
 
 

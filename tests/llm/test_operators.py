@@ -226,6 +226,15 @@ def test_align():
     assert to[:2] == (0, 1) and [x for x in to if x >= 0] == sorted(x for x in to if x >= 0) and to.count(-1) == 1
 
 
+def test_align_of_any_size():
+    """Small and large pages match by one rule: ids that differ part no two nodes, ids that are equal decide."""
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    page = lambda x, ks: htmltext.Page("<body>" + "".join(f"<div id={x}{name(k)}><p>t</p></div>" for k in ks) + "</body>").skeleton()
+    for n in (20, 1500):
+        assert htmltext.align(page("x", range(n)), page("y", range(n))) == tuple(range(2 + 2 * n))
+        assert htmltext.align(page("x", range(n)), page("x", range(1, n))) == (0, 1, -1, -1, *range(2, 2 * n))
+
+
 def test_substring(docs, none):
     assert got(substring.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.dedup(DOCS), key=repr)
     kept = {r["doc_id"]: r["kept"] for r in substring.dedup(docs, with_text=True).collect()}
