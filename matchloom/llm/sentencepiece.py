@@ -12,6 +12,7 @@ merges, not that of the best sum of scores. Words with runs of spaces, whose mer
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import struct
 from collections import defaultdict
@@ -27,8 +28,8 @@ from .hashing import by_bytes, runs_equal
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 6_000_000  # of text whose words are encoded together
-INDEX_CHARS = 1_000_000  # of distinct words that are indexed at once; a longer word has an index of its own
+SLICE_BYTES = 2_000_000  # of text whose words are encoded together
+INDEX_CHARS = 250_000  # of distinct words that are indexed at once; a longer word has an index of its own
 CACHE_BITS = 20
 NONE = -1
 
@@ -94,6 +95,10 @@ class Model:
         self.known = frozenset(p for p in self.ids if len(p) == 1)
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() if self.rank[i] >= 0 else b"" for i, p in enumerate(self.pieces)]
         self.size = np.array([len(p) for p in self.pieces], np.int32)
+        # Code points of the usable pieces, 0 past their end.
+        self.points = np.zeros((len(self.pieces), int(self.size[self.usable].max(initial=1))), np.uint32)
+        for i in np.flatnonzero(self.usable).tolist():
+            self.points[i, : self.size[i]] = [ord(c) for c in self.pieces[i]]
         self.cache = np.full(1 << CACHE_BITS, -2, np.int64)
 
 
@@ -203,46 +208,50 @@ def _may_follow(model: Model, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def edges_of(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(starts, pieces): all occurrences of usable pieces in text, by its suffixes in order."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    alphabet, codes = np.unique(points, return_inverse=True)
-    codes = (codes + 1).astype(np.uint64)
+    n, most = len(text), model.points.shape[1]
+    alphabet, codes = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
     bits = int(len(alphabet) + 1).bit_length()
     width = 64 // bits
-    padded = np.append(codes, np.zeros(width, np.uint64))
-    key = np.zeros(len(codes), np.uint64)
+    padded = np.zeros(n + max(width, most), np.uint32)
+    np.add(codes, 1, out=padded[:n], casting="unsafe")
+    del codes
+    key = np.zeros(n, np.uint64)
     for k in range(width):  # the first characters of each suffix as one number
-        key = (key << np.uint64(bits)) | padded[k : k + len(codes)]
+        key <<= np.uint64(bits)
+        key |= padded[k : k + n]
     suffixes = np.argsort(key).astype(np.int32)
-    ordered = key[suffixes]
-    code_of = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
-    ids = [i for i, p in enumerate(model.pieces) if model.usable[i] and all(c in code_of for c in p)]
-    low, high, tails = [], [], []
-    for i in ids:
-        head = 0
-        for c in model.pieces[i][:width]:
-            head = head << bits | code_of[c]
-        free = bits * (width - min(width, len(model.pieces[i])))
-        low.append(head << free)
-        high.append((head + 1 << free) - 1)
-    begin = np.searchsorted(ordered, np.array(low, np.uint64), "left")
-    end = np.searchsorted(ordered, np.array(high, np.uint64), "right")
-    size = end - begin
-    piece = np.repeat(np.array(ids, np.int32), size)
-    start = suffixes[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    key = key[suffixes]
+    # The usable pieces in the same codes, 0 past their end; those with characters that the text has not are left out.
+    ids = np.flatnonzero(model.usable)
+    at = np.minimum(np.searchsorted(alphabet, model.points[ids]), len(alphabet) - 1)
+    inside = np.arange(most) < model.size[ids][:, None]
+    found = inside & (alphabet[at] == model.points[ids])
+    whole = (found == inside).all(axis=1)
+    ids, coded = ids[whole].astype(np.int32), np.where(found, at + 1, 0)[whole].astype(np.uint32)
+    low = np.zeros(len(ids), np.uint64)
+    for k in range(width):
+        low <<= np.uint64(bits)
+        if k < most:
+            low |= coded[:, k]
+    free = (bits * (width - np.minimum(width, model.size[ids]))).astype(np.uint64)
+    begin = np.searchsorted(key, low, "left")
+    size = np.searchsorted(key, low + (np.uint64(1) << free) - np.uint64(1), "right") - begin
+    del key
+    total = int(size.sum())
+    places = np.repeat((begin - np.cumsum(size) + size).astype(kind := np.int32 if total < 2**31 else np.int64), size)
+    places += np.arange(total, dtype=kind)
+    start = suffixes[places]
+    del places
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     # Of pieces longer than a key, what follows is compared key by key.
-    long = np.flatnonzero(model.size[piece] > width)
+    long = np.flatnonzero(model.size[ids[row]] > width)
     if len(long):
-        keep = np.ones(len(piece), bool)
-        most = int(model.size.max())
-        tails = np.zeros((len(model.pieces), most), np.uint64)
-        for i in ids:
-            tails[i, : len(model.pieces[i])] = [code_of[c] for c in model.pieces[i]]
-        far = np.append(codes, np.zeros(most, np.uint64))
+        keep = np.ones(len(row), bool)
         for k in range(width, most):
-            own = long[model.size[piece[long]] > k]
-            keep[own] &= far[start[own] + k] == tails[piece[own], k]
-        start, piece = start[keep], piece[keep]
-    return start, piece
+            long = long[model.size[ids[row[long]]] > k]
+            keep[long] &= padded[start[long] + k] == coded[row[long], k]
+        start, row = start[keep], row[keep]
+    return start, ids[row]
 
 
 def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,8 +310,8 @@ def _plain(model: Model, word: str) -> list[int]:
 
 def encode_batch(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first) of texts; a null or empty text has no pieces."""
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
+    # Counted apart: with its own __len__ as its factory the table would hold itself and stay until garbage is collected.
+    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
     rows, counts = [], []
     for t in texts:
         found = model.words.findall((SPACE if model.dummy_prefix else "") + t.replace(" ", SPACE)) if t else []

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import html
 import math
 import random
 import re
 import time
+import tracemalloc
 from fractions import Fraction
 
 import brute
@@ -348,6 +350,24 @@ def test_pieces_across_line_ends(model):
     assert model.words.findall("▁a;\r\n\tb") == ["▁a;\r", "\n", "\t", "b"]
 
 
+def test_memory_of_batches(model):
+    """A batch takes memory in parts of its words and leaves none behind, before any garbage is collected."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(100_000)) for _ in range(2)]
+    sentencepiece.encode_batch(model, texts[:1])
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for t in texts:
+            sentencepiece.encode_batch(model, [t])
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert left < 1e6 and peak < 60e6, (left, peak)
+
+
 def test_encode_table(docs, none):
     clash = docs.withColumn("ids", F.lit(1))
     rows = sentencepiece.encode(clash).collect()
