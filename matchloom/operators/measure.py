@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernel import scan_texts
 from ..plans.chunks import equal_chunks
 from .analytics import div
-from .scan import _shards, shared
+from .scan import _schema, _shards, bodies, dealt, shared
 
 MIB = 1 << 20
+PART = MIB  # bytes of a chunk that are scanned at once, as a scan takes many times its text
 
 
 def run(scan: Callable[[], DataFrame], warmup: int = 1, iters: int = 5) -> list[float]:
@@ -56,15 +59,65 @@ def scaling(stats: DataFrame) -> DataFrame:
     return rows.withColumn("speedup", div("one_", "mean_ms")).withColumn("efficiency", div("speedup", "threads_req")).drop("one_")
 
 
-def worker_metrics(texts: DataFrame, matches: DataFrame, parts: int, halo: int, key: str = "doc_id", kind: str = "chunked") -> DataFrame:
-    """key, worker_id, bytes_scanned, matches_found of a plan over texts(key, n_bytes); matches(key, end_pos) as found.
+def count_chunks(texts: DataFrame, keys: list[str], automaton: Broadcast, parts: int, nocase: bool = False) -> DataFrame:
+    """keys, chunk, scanned, n of texts(keys, body, size): bytes and matches of the first parts chunks of size bytes.
 
-    A chunk scans its core and the halo before it; kind "sharded" means that every worker reads the whole text.
+    Matches are counted where they are found, so a chunk is one row however many it has.
     """
-    plan = equal_chunks(texts, "n_bytes", parts, halo)
-    own = matches.join(texts.select(F.col(key), "n_bytes"), key).groupBy(F.col(key).alias("k_"), F.expr(f"end_pos div greatest(1L, (n_bytes + {parts - 1}) div {parts})").alias("c_")).agg(F.count("*").alias("m_"))
-    scanned = F.col("n_bytes") if kind == "sharded" else F.col("core_end") - F.col("scan_start")
-    return plan.join(own, (F.col(key) == F.col("k_")) & (F.col("chunk") == F.col("c_")), "left").select(key, F.col("chunk").alias("worker_id"), scanned.alias("bytes_scanned"), F.coalesce("m_", F.lit(0)).cast("long").alias("matches_found"))
+    halo = automaton.value.halo
+    df = texts.withColumn("n_", F.octet_length("body").cast("long")).filter("n_ > 0")
+    df = df.withColumn("chunk", F.explode(F.expr(f"sequence(0L, least({parts - 1}L, (n_ - 1) div size))"))).withColumn("core_", F.expr("chunk * size"))
+    df = df.withColumn("at_", F.greatest(F.lit(0).cast("long"), F.col("core_") - halo)).withColumn("scanned", F.expr("least(core_ + size, n_) - at_"))
+    piece = F.expr("substring(body, cast(at_ + 1 as int), cast(scanned as int))")
+    df = df.select(*keys, "chunk", "scanned", piece.alias("body"), F.expr("core_ - at_").alias("skip"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, skip, sizes = batch.column("body"), batch.column("skip").to_numpy(), batch.column("scanned").to_numpy()
+            n = np.zeros(batch.num_rows, np.int64)
+            short = np.flatnonzero(sizes <= PART)
+            for row, end, _ in scan_texts(automaton.value, body.take(pa.array(short)), nocase):
+                own = short[row]
+                n += np.bincount(own[end >= skip[own]], minlength=len(n))
+            for k in np.flatnonzero(sizes > PART).tolist():
+                for core in range(int(skip[k]), int(sizes[k]), PART):
+                    at = max(0, core - halo)
+                    part = pc.binary_slice(body.slice(k, 1), at, core + PART)
+                    n[k] += sum(int((end >= core - at).sum()) for _, end, _ in scan_texts(automaton.value, part, nocase))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "chunk", "scanned")), pa.array(n)], [*keys, "chunk", "scanned", "n"])
+
+    return df.mapInArrow(run, f"{_schema(df, [*keys, 'chunk', 'scanned'])}, n long")
+
+
+def worker_metrics(texts: DataFrame, rows: list[tuple[int, bytes]], parts: int, key: str = "doc_id", text: str = "text", kind: str = "chunked", nocase: bool = False, most_broadcast: int = 200_000) -> DataFrame:
+    """key, worker_id, bytes_scanned, matches_found of a plan over texts(key, text), for the dictionary rows.
+
+    A chunk scans its core and the halo before it; kind "sharded" means that every worker reads the whole text. Texts of one
+    key count each other's matches, as a join on the key has it, so their matches are counted by the chunks of each size; a null
+    key counts none. Where no key is shared, which is measured first, counts stay where they are made.
+    """
+    automaton = shared(texts.sparkSession, rows)
+    n_bytes = F.octet_length(text).cast("long")
+    size = F.greatest(F.lit(1).cast("long"), F.expr(f"(n_bytes + {parts - 1}) div {parts}"))
+    sized = texts.select(key, n_bytes.alias("n_bytes")).withColumn("size", size)
+    whole = bodies(texts.withColumn("n_bytes", n_bytes).withColumn("size", size), [key, "n_bytes", "size"], text)
+    known = sized.filter(F.col(key).isNotNull())
+    by_key = known.groupBy(key).agg(F.count("*").alias("n_"), (F.min("size") < F.max("size")).alias("mixed_")).filter("n_ > 1")
+    several, mixed = by_key.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("mixed_"), F.col("n_"))), F.lit(0))).first()
+    scanned = lambda own: F.col("n_bytes") if kind == "sharded" else own
+    if not several:
+        found = count_chunks(dealt(whole), [key, "n_bytes"], automaton, parts, nocase)
+        return found.select(key, F.col("chunk").alias("worker_id"), scanned(F.col("scanned")).alias("bytes_scanned"), F.when(F.col(key).isNotNull(), F.col("n")).otherwise(F.lit(0)).cast("long").alias("matches_found"))
+    sizes = known.groupBy(key, "size").agg(F.count("*").alias("times_"))
+    whole = whole.filter(F.col(key).isNotNull())
+    if mixed:
+        every = sizes.groupBy(key).agg(F.collect_list("size").alias("every_")).filter(F.size("every_") > 1)
+        whole = whole.join(F.broadcast(every) if mixed <= most_broadcast else every, key, "left")
+        whole = whole.select(key, "body", F.explode(F.coalesce("every_", F.array("size"))).alias("size"))
+    found = count_chunks(dealt(whole), [key, "size"], automaton, parts, nocase).groupBy(key, "size", "chunk").agg(F.sum("n").alias("n"))
+    own = found.join(sizes, [key, "size"]).groupBy(F.col(key).alias("k_"), F.col("chunk").alias("c_")).agg(F.sum(F.col("n") * F.col("times_")).alias("m_"))
+    plan = equal_chunks(sized.drop("size"), "n_bytes", parts, automaton.value.halo)
+    return plan.join(own, (F.col(key) == F.col("k_")) & (F.col("chunk") == F.col("c_")), "left").select(key, F.col("chunk").alias("worker_id"), scanned(F.col("core_end") - F.col("scan_start")).alias("bytes_scanned"), F.coalesce("m_", F.lit(0)).cast("long").alias("matches_found"))
 
 
 def _cpu() -> int:
